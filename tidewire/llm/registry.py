@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewire.llm import q_langid, q_media, q_packing, q_sharding
+from tidewire.llm import q_langid, q_licences, q_media, q_packing, q_sentencepieces, q_sharding
 
-_MODULES = [q_media, q_packing, q_langid, q_sharding]
+_MODULES = [q_sentencepieces, q_media, q_packing, q_langid, q_sharding, q_licences]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
