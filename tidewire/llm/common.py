@@ -27,7 +27,7 @@ def partitions(spark: SparkSession) -> int:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it is proven to hold no more than that many rows; else left to a shuffle join."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def dense_rank_offsets(df: DataFrame, group: str, spread: Column, order: list, to: str, buckets: int) -> DataFrame:
