@@ -1,42 +1,12 @@
 """Every registered query of the engine with its SQL oracle."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-from tidewire.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return f
-
-    return register
-
-
-@query(
-    "dedupe_by_source",
-    """
-    WITH k AS (
-      SELECT source, row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) AS rn FROM documents)
-    SELECT source, CAST(count(*) FILTER (WHERE rn = 1) AS BIGINT) AS created,
-           CAST(count(*) FILTER (WHERE rn > 1) AS BIGINT) AS duplicate
-    FROM k GROUP BY source
-    """,
+from tidewire.plans import (  # noqa: F401
+    q_api,
+    q_intake,
+    q_ranking,
+    q_relational,
+    q_series,
+    q_similarity,
+    q_text,
 )
-def dedupe_by_source(spark, sf_dir):
-    """Exact copies within one source are duplicates; across sources they stay."""
-    per_key = table(spark, sf_dir, "documents").groupBy("source", F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n"))
-    return per_key.groupBy("source").agg(
-        F.count("*").alias("created"), (F.sum("n") - F.count("*")).alias("duplicate")
-    )
+from tidewire.plans.base import ORACLES, QUERIES  # noqa: F401

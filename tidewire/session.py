@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -25,5 +28,18 @@ def build_session(app: str = "tidewire", cores: str = "*", shuffle_partitions: i
     )
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it is proven to hold no more than that many rows; else left to the planner."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared checkpoint folder, without its lineage."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ck-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
