@@ -10,11 +10,11 @@ MILESTONES = [10, 30, 60, 180, 360, 720, 1440]
 PERCENTILES = [("p25", 0.25), ("p50", 0.50), ("p75", 0.75), ("p90", 0.90), ("p95", 0.95), ("p99", 0.99)]
 
 
-def clamp01(x: Column) -> Column:
-    """x in 0..1 to 4 places, after 9, so that a tie does not hang on the last bit; null, NaN and infinite values give 0."""
+def clamp01(x: Column, places: int = 4) -> Column:
+    """x in 0..1 to some places, after 9, so that a tie does not hang on the last bit; null, NaN and infinite values give 0."""
     x = x.cast("double")
     bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(bad, 0.0).otherwise(F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 9), 4))
+    return F.when(bad, 0.0).otherwise(F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 9), places))
 
 
 def hours(later: Column, earlier: Column) -> Column:

@@ -26,8 +26,8 @@ def audience_fit(topic_weight: Column, preference: Column, language: Column) ->
     return N.clamp01(0.40 * topic + 0.30 * F.coalesce(preference, F.lit(0.5)) + 0.15 * 0.60 + 0.15 * F.when(language.isin("fa", "en"), 1.0).otherwise(0.5))
 
 
-def final_score(value, momentum, audience, fresh) -> Column:
-    return N.clamp01(0.45 * value + 0.30 * momentum + 0.20 * audience + 0.05 * fresh)
+def final_score(value, momentum, audience, fresh, places: int = 4) -> Column:
+    return N.clamp01(0.45 * value + 0.30 * momentum + 0.20 * audience + 0.05 * fresh, places)
 
 
 def credibility(trust: Column, independent: Column, model: Column, conflict: Column) -> Column:
@@ -45,13 +45,13 @@ def gate(credibility: Column, conflict: Column, independent: Column, trust: Colu
 NOVELTY = {"NEW": 1.0, "MATERIAL": 0.90, "CORRECTION": 0.90}
 
 
-def priority(news, momentum, acceleration, audience, fresh, independent, novelty, saturation, repetition, credibility) -> Column:
+def priority(news, momentum, acceleration, audience, fresh, independent, novelty, saturation, repetition, credibility, places: int = 4) -> Column:
     novel = F.lit(0.10)
     for k, v in NOVELTY.items():
         novel = F.when(novelty == k, v).otherwise(novel)
     raw = 0.35 * news + 0.20 * momentum + 0.10 * acceleration + 0.15 * audience + 0.05 * fresh + 0.10 * N.saturating(independent) + 0.05 * novel
     boost = F.when(novelty == "CORRECTION", 0.10).otherwise(0.0)
-    return N.clamp01(raw + boost - saturation - repetition - F.greatest(F.lit(0.0), 0.40 - credibility))
+    return N.clamp01(raw + boost - saturation - repetition - F.greatest(F.lit(0.0), 0.40 - credibility), places)
 
 
 def topic_saturation(publications: DataFrame, topic: str, at: str, statuses: Column, hours: int = 4) -> DataFrame:

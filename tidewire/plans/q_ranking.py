@@ -13,6 +13,7 @@ from tidewire.plans.base import events, query
 from tidewire.session import table
 
 _CL = "round(round(greatest(0, least(1, {0})), 9), 4)"
+_CL6 = _CL.replace(", 4)", ", 7)")  # no ties there
 _K = {"i": (7, 6), "u": (11, 10), "c": (13, 12), "m": (17, 16), "p": (5, 4)}
 
 
@@ -52,10 +53,10 @@ def audience_fit(spark, sf_dir):
     return _labelled(spark, sf_dir).select("doc_id", R.audience_fit(F.col("quality") * _sig("m"), _sig("p"), F.col("lang")).alias("audience"))
 
 
-@query("final_score", f"WITH s AS (SELECT doc_id, {_NEWS} AS n, {_AUD} AS a FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, {_CL.format('0.45 * n + 0.3 * ' + _sql('m') + ' + 0.2 * a + 0.05 * ' + _sql('c'))} AS score FROM s")
+@query("final_score", f"WITH s AS (SELECT doc_id, {_NEWS} AS n, {_AUD} AS a FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, {_CL6.format('0.45 * n + 0.3 * ' + _sql('m') + ' + 0.2 * a + 0.05 * ' + _sql('c'))} AS score FROM s")
 def final_score(spark, sf_dir):
     s = _labelled(spark, sf_dir).withColumn("n", _news()).withColumn("a", R.audience_fit(F.col("quality") * _sig("m"), _sig("p"), F.col("lang")))
-    return s.select("doc_id", R.final_score(F.col("n"), _sig("m"), F.col("a"), _sig("c")).alias("score"))
+    return s.select("doc_id", R.final_score(F.col("n"), _sig("m"), F.col("a"), _sig("c"), 7).alias("score"))
 
 
 _CRED = _CL.format(f"0.45 * {_sql('c')} + 0.25 * least(1, (doc_id % 4) / 3) + 0.3 * coalesce(CAST(quality AS DOUBLE), 0.5) - 0.25 * coalesce(CAST(toxic AS DOUBLE), 0)")
@@ -87,7 +88,7 @@ def topic_saturation(spark, sf_dir):
     return _saturated(spark, sf_dir).select("o_orderkey", "recent", F.col("penalty"))
 
 
-_PRIO = _CL.format("0.35 * n + 0.2 * m + 0.1 * a + 0.15 * u + 0.05 * f + 0.1 * (1 - exp(-0.7 * i)) + 0.05 * CASE nov WHEN 'NEW' THEN 1.0 WHEN 'MATERIAL' THEN 0.9 WHEN 'CORRECTION' THEN 0.9 ELSE 0.1 END + CASE WHEN nov = 'CORRECTION' THEN 0.1 ELSE 0 END - pen - greatest(0, 0.4 - c)")
+_PRIO = _CL6.format("0.35 * n + 0.2 * m + 0.1 * a + 0.15 * u + 0.05 * f + 0.1 * (1 - exp(-0.7 * i)) + 0.05 * CASE nov WHEN 'NEW' THEN 1.0 WHEN 'MATERIAL' THEN 0.9 WHEN 'CORRECTION' THEN 0.9 ELSE 0.1 END + CASE WHEN nov = 'CORRECTION' THEN 0.1 ELSE 0 END - pen - greatest(0, 0.4 - c)")
 _CAND = f"""{_SAT}, cand AS (SELECT o_orderkey, (o_orderkey % 97) / 96.0 AS n, (o_orderkey % 89) / 88.0 AS m, (o_orderkey % 7) / 6.0 AS a, (o_orderkey % 5) / 4.0 AS u, (o_orderkey % 11) / 10.0 AS f, o_orderkey % 4 AS i, (o_orderkey % 13) / 12.0 AS c,
   CASE WHEN o_orderstatus = 'O' THEN 'NEW' WHEN o_orderkey % 5 = 0 THEN 'REPEAT' WHEN o_orderkey % 5 = 1 THEN 'CORRECTION' WHEN o_orderkey % 5 = 2 THEN 'MATERIAL' WHEN o_orderkey % 5 = 3 THEN 'MINOR' ELSE 'REPEAT' END AS nov,
   CASE WHEN recent >= 2 THEN round(least(0.3, 0.1 * (recent - 1)), 2) ELSE 0 END AS pen FROM sat),
@@ -100,7 +101,7 @@ def _candidates(spark, sf_dir):
     s = _saturated(spark, sf_dir).withColumns({"n": (k % 97) / 96, "m": (k % 89) / 88, "a": (k % 7) / 6, "u": (k % 5) / 4, "f": (k % 11) / 10, "i": k % 4, "c": (k % 13) / 12})
     s = s.withColumn("nov", R.novelty(F.col("o_orderstatus") != "O", label, F.lit(0)))
     c = F.col
-    return s.withColumn("priority", R.priority(c("n"), c("m"), c("a"), c("u"), c("f"), c("i"), c("nov"), c("penalty"), F.lit(0.0), c("c")))
+    return s.withColumn("priority", R.priority(c("n"), c("m"), c("a"), c("u"), c("f"), c("i"), c("nov"), c("penalty"), F.lit(0.0), c("c"), 7))
 
 
 @query("publish_priority", f"WITH {_CAND} SELECT o_orderkey, nov AS novelty, priority FROM prio")
