@@ -2,8 +2,8 @@
 
 Each window of k words is an edge from its first k - 1 words to its last, named by a 64-bit number. A text is a walk over
 the graph. An edge repeats a text when it also starts in a text with a smaller key. Where an edge first starts is found by
-one exchange of edge names, packed by blocks of texts: a block sends each distinct edge once, from its least key, so the
-rows of one edge are as many as the blocks, whatever its texts. Steps of a walk that go on along the same earlier text are
+one exchange of edge names, packed by blocks of texts: a block sends the edges of each text that is the earliest with them
+in the block, and settles the others itself, so the texts that send one edge are no more than the blocks. Steps of a walk that go on along the same earlier text are
 nonbranching and compact into one path with the coordinates of both ends: the spans. The coordinates of an edge are those
 of one start in its least text.
 
@@ -17,15 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import words
 from tidewire.llm.common import partitions
 
-BLOCK_WINDOWS = 1_500_000
+BLOCK_WINDOWS = 500_000
 LAST = (1 << 63) - 1  # stands for a null key: later than every other
-_ANSWER = "doc long, mark long, at binary, source binary, source_at binary"
+_SPANS = "start binary, steps binary, source binary, source_start binary"
 
 
 def _mark(text: Column) -> Column:
@@ -49,130 +51,158 @@ def _blocks(batches, k):
         yield out
 
 
-def _packed(doc, mark, owner, at, source, source_at) -> pd.DataFrame:
-    """Answers by text: owner is sorted and points into doc and mark."""
-    if not len(owner):
-        return pd.DataFrame({c: np.zeros(0, np.int64 if c in ("doc", "mark") else object) for c in ("doc", "mark", "at", "source", "source_at")})
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    ends = np.r_[first[1:], len(owner)]
-    a, s, t = (x.astype(d).tobytes() for x, d in ((at, "<i4"), (source, "<i8"), (source_at, "<i4")))
-    own = owner[first]
-    return pd.DataFrame({
-        "doc": doc[own], "mark": mark[own],
-        "at": [a[4 * i : 4 * j] for i, j in zip(first, ends)],
-        "source": [s[8 * i : 8 * j] for i, j in zip(first, ends)],
-        "source_at": [t[4 * i : 4 * j] for i, j in zip(first, ends)],
-    })
-
-
-def repeated_edges(docs: DataFrame, key: str, text: str, k: int, parts: int) -> DataFrame:
-    """doc, mark (of the text) and, packed, the places of edges that start in an earlier text, with one start there."""
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs; the first byte says how many."""
+    top = int(x.max()) if len(x) else 0
+    size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _rises(x: np.ndarray) -> bytes:
+    """Rising whole numbers as the first one and the steps."""
+    return x[:1].astype("<i8").tobytes() + _pack(np.diff(x)) if len(x) else b""
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.int64)
+    return np.cumsum(np.r_[np.frombuffer(raw, "<i8", 1), _unpack(raw[8:])])
+
+
+def paths(at, source, source_at, owner=None) -> tuple[np.ndarray, ...]:
+    """Nonbranching paths of edges in order of place, and of owner, if given: the index of the first edge of each, the
+    first place, the number of edges, the source and the place there."""
+    if not len(at):
+        return np.zeros(0, np.int64), at, at, source, source_at
+    on = (np.diff(at) == 1) & (np.diff(source) == 0) & (np.diff(source_at) == 1)
+    if owner is not None:
+        on &= np.diff(owner) == 0
+    first = np.flatnonzero(np.r_[True, ~on])
+    return first, at[first], np.diff(np.r_[first, len(at)]), source[first], source_at[first]
+
+
+def repeated_paths(docs: DataFrame, key: str, text: str, k: int, parts: int) -> DataFrame:
+    """doc, mark (of the text) and, packed, the paths of edges that start in an earlier text, with their place there."""
     width = -(-(1 << 64) // parts)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _blocks(batches, k):
+        task = TaskContext.get().partitionId()
+        for count, rows in enumerate(_blocks(batches, k)):
+            block = task << 32 | count
             rows.sort(key=lambda r: r[0])
             doc = np.array([r[0] for r in rows], np.int64)
             mark = np.array([r[1] for r in rows], np.int64)
             sizes = np.array([len(r[2]) for r in rows], np.int64)
             edge = np.concatenate([r[2] for r in rows])
-            owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+            rows.clear()
+            owner = np.repeat(np.arange(len(doc), dtype=np.int32), sizes)
             at = (np.arange(len(edge)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             order = np.argsort(edge, kind="stable")  # of equal edges, those of the least key come first
-            e, o = edge[order], owner[order]
+            e = edge[order]
             head = np.r_[True, e[1:] != e[:-1]]
-            run = np.cumsum(head) - 1
             least = order[head]
-            source = doc[owner[least]][run]
-            later = doc[o] > source
-            if later.any():
-                mine = order[later]
-                by = np.argsort(mine, kind="stable")
-                mine, of = mine[by], least[run[later][by]]
-                yield self_answer(doc, mark, owner[mine], at[mine], doc[owner[of]], at[of])
-            send_at = order[~later]
-            keep = edge[send_at]
-            part = (keep // np.uint64(width)).astype(np.int64)
-            by = np.lexsort((send_at, part))
-            send_at, part = send_at[by], part[by]
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            out = []
+            source_of = np.empty(len(edge), np.int32)  # the first start of each edge in the block
+            source_of[order] = least[np.cumsum(head) - 1]
+            later = doc[owner] > doc[owner[source_of]]
+            mine = np.flatnonzero(later)
+            of = source_of[mine]
+            first, start, steps, source, source_start = paths(at[mine], doc[owner[of]], at[of], owner[mine])
+            own = _table(owner[mine][first], start, steps, source, source_start)
+            part = (edge // np.uint64(width)).astype(np.int32)
+            part[later] = parts
+            by = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[by], np.arange(parts + 1))
+            home, out = block % parts, []
             for r in range(parts):
-                mine = send_at[ends[r] : ends[r + 1]]
-                if len(mine):
-                    own, first = np.unique(owner[mine], return_index=True)
-                    n = np.diff(np.r_[first, len(mine)]).astype("<u4")
-                    step = np.diff(at[mine], prepend=0)
-                    step[first] = at[mine][first]
-                    small = int(step.max()) < 1 << 16
-                    out.append((r, edge[mine].tobytes(), doc[own].tobytes(), mark[own].tobytes(), n.tobytes(), step.astype("<u2" if small else "<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["part", "edge", "docs", "marks", "n", "step"]).assign(doc=0, mark=0)
-
-    def self_answer(*x):
-        out = _packed(*x)
-        return out.assign(part=np.abs(out["mark"] % parts))
-
-    fields = ["part", "edge", "docs", "marks", "n", "step", "doc", "mark", "at", "source", "source_at"]
-
-    def whole(batches):
-        for out in send(batches):
-            yield out.reindex(columns=fields).astype({"part": "int32", "doc": "int64", "mark": "int64"})
-
-    sent = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), _mark(F.col(text)).alias("mark"), F.col(text).alias("text")
-    ).mapInPandas(whole, "part int, edge binary, docs binary, marks binary, n binary, step binary, " + _ANSWER)
+                got = by[ends[r] : ends[r + 1]]
+                if len(got) or r == home:
+                    mark_ends = np.flatnonzero(np.r_[True, owner[got][1:] != owner[got][:-1]]) if len(got) else np.zeros(0, int)
+                    step = np.diff(at[got], prepend=0)
+                    step[mark_ends] = at[got][mark_ends]
+                    texts = owner[got][mark_ends].astype(np.int64)
+                    n = np.diff(np.r_[mark_ends, len(got)])
+                    mine = r == home
+                    out.append((r, block, edge[got].tobytes(), _rises(doc[texts]), _rises(texts), _pack(n), _pack(step), doc.tobytes() if mine else None, mark.tobytes() if mine else None, own if mine else None))
+            yield pd.DataFrame(out, columns=["part", "block", "edge", "docs", "texts", "n", "step", "all_docs", "all_marks", "found"])
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
         edge = np.concatenate([np.frombuffer(x, np.uint64) for x in g["edge"]])
-        doc = np.concatenate([np.frombuffer(x, np.int64) for x in g["docs"]])
-        mark = np.concatenate([np.frombuffer(x, np.int64) for x in g["marks"]])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in g["n"]]).astype(np.int64)
-        step = np.concatenate([np.frombuffer(s, "<u2" if len(s) * 4 == len(x) else "<u4") for s, x in zip(g["step"], g["edge"])]).astype(np.int64)
-        owner = np.repeat(np.arange(len(doc)), n)
-        at = np.cumsum(step)
+        doc = np.concatenate([_risen(x) for x in g["docs"]])
+        texts = np.concatenate([_risen(x) for x in g["texts"]])
+        n = np.concatenate([_unpack(x) for x in g["n"]])
+        at = np.cumsum(np.concatenate([_unpack(x) for x in g["step"]]))
         start = np.cumsum(n) - n
         at -= np.repeat(np.where(start > 0, at[start - 1], 0), n)
+        at = at.astype(np.int32)
+        owner = np.repeat(np.arange(len(doc), dtype=np.int32), n)
+        of_row = np.repeat(np.arange(len(g), dtype=np.int32), [len(x) // 8 for x in g["edge"]])
         order = np.argsort(edge, kind="stable")
         e = edge[order]
-        same = np.r_[False, e[1:] == e[:-1]]
+        same = np.r_[False, e[1:] == e[:-1]][: len(e)]
         twice = same.copy()
         twice[:-1] |= same[1:]
         order = order[twice]  # edges with several starts only
         order = order[np.lexsort((at[order], doc[owner[order]], edge[order]))]
         e = edge[order]
-        head = np.r_[True, e[1:] != e[:-1]] if len(e) else np.zeros(0, bool)
+        head = np.r_[True, e[1:] != e[:-1]][: len(e)]
         least = order[head][np.cumsum(head) - 1] if len(e) else order
         later = doc[owner[order]] > doc[owner[least]]
         mine, of = order[later], least[later]
-        by = np.lexsort((at[mine], owner[mine]))
+        by = np.argsort(mine, kind="stable")  # by block, text and place, as they came
         mine, of = mine[by], of[by]
-        return _packed(doc, mark, owner[mine], at[mine], doc[owner[of]], at[of])
+        cut = np.searchsorted(of_row[mine], np.arange(len(g) + 1))
+        found = []
+        for i, (a, b) in enumerate(zip(cut, cut[1:])):
+            m, o = mine[a:b], of[a:b]
+            got = [_table(texts[owner[m]], at[m], np.ones(b - a, np.int64), doc[owner[o]], at[o])] if b > a else []
+            own = g["found"].iloc[i]
+            found.append(b"".join(got) + (own or b""))
+        out = g[["block", "all_docs", "all_marks"]].assign(found=found)
+        return out[out["all_docs"].notna() | (out["found"].map(len) > 0)]
+
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        home = g[g["all_docs"].notna()].iloc[0]
+        doc, mark = np.frombuffer(home["all_docs"], np.int64), np.frombuffer(home["all_marks"], np.int64)
+        got = [t for raw in g["found"] for t in _tables(raw)]
+        owner, at, steps, source, source_at = (np.concatenate([t[i] for t in got] or [np.zeros(0, np.int64)]) for i in range(5))
+        by = np.lexsort((at, owner))
+        owner, at, steps, source, source_at = (x[by] for x in (owner, at, steps, source, source_at))
+        on = (owner[1:] == owner[:-1]) & (at[:-1] + steps[:-1] == at[1:]) & (source[1:] == source[:-1]) & (source_at[:-1] + steps[:-1] == source_at[1:])
+        first = np.flatnonzero(np.r_[True, ~on][: len(at)])
+        steps = np.add.reduceat(steps, first) if len(first) else steps
+        owner, at, source, source_at = owner[first], at[first], source[first], source_at[first]
+        cut = np.searchsorted(owner, np.arange(len(doc) + 1))
+        rows = [(int(doc[i]), int(mark[i]), _rises(at[a:b]), _pack(steps[a:b]), source[a:b].tobytes(), _pack(source_at[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        out = pd.DataFrame(rows, columns=["doc", "mark", "start", "steps", "source", "source_start"])
+        return out.astype({"doc": "int64", "mark": "int64"})
 
-    def either(g: pd.DataFrame) -> pd.DataFrame:
-        asks = g["edge"].notna()
-        own = g.loc[~asks, ["doc", "mark", "at", "source", "source_at"]]
-        return pd.concat([answer(g[asks]), own]) if asks.any() else own
-
-    # Answers within a block pass through the same exchange, dealt out by their text.
-    return sent.groupBy("part").applyInPandas(either, _ANSWER)
-
-
-def _starts(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's answers: places, sources and source places, by place."""
-    at = np.concatenate([np.frombuffer(r["at"], "<i4") for r in rows])
-    source = np.concatenate([np.frombuffer(r["source"], "<i8") for r in rows])
-    source_at = np.concatenate([np.frombuffer(r["source_at"], "<i4") for r in rows])
-    by = np.argsort(at, kind="stable")
-    return at[by], source[by], source_at[by]
-
-
-def paths(at: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Nonbranching paths: first place, edges, source, place in the source."""
-    if not len(at):
-        return at, at, source, source_at
-    on = (np.diff(at) == 1) & (np.diff(source) == 0) & (np.diff(source_at) == 1)
-    first = np.flatnonzero(np.r_[True, ~on])
-    return at[first], np.diff(np.r_[first, len(at)]), source[first], source_at[first]
+    sent = docs.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), _mark(F.col(text)).alias("mark"), F.col(text).alias("text")
+    ).mapInPandas(send, "part int, block long, edge binary, docs binary, texts binary, n binary, step binary, all_docs binary, all_marks binary, found binary")
+    answers = sent.groupBy("part").applyInPandas(answer, "block long, all_docs binary, all_marks binary, found binary")
+    return answers.groupBy("block").applyInPandas(merge, f"doc long, mark long, {_SPANS}")
+
+
+def _table(owner, at, steps, source, source_at) -> bytes:
+    """Five columns of one length as bytes, after the length."""
+    columns = [np.asarray(owner, "<i4"), np.asarray(at, "<i4"), np.asarray(steps, "<i4"), np.asarray(source, "<i8"), np.asarray(source_at, "<i4")]
+    return np.int64(len(columns[0])).tobytes() + b"".join(c.tobytes() for c in columns)
+
+
+def _tables(raw: bytes) -> Iterator[list[np.ndarray]]:
+    at = 0
+    while at < len(raw):
+        n = int(np.frombuffer(raw, "<i8", 1, at)[0])
+        at += 8
+        out = []
+        for kind, size in (("<i4", 4), ("<i4", 4), ("<i4", 4), ("<i8", 8), ("<i4", 4)):
+            out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+            at += size * n
+        yield out
 
 
 def dedup(docs: DataFrame, key: str, text: str, keep: list[str], k: int = 50) -> DataFrame:
@@ -185,34 +215,49 @@ def dedup(docs: DataFrame, key: str, text: str, keep: list[str], k: int = 50) ->
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()[0]
     parts = max(partitions(spark), math.ceil(size / (16 << 20)))
-    answers = repeated_edges(docs, key, text, k, parts)
-    found = answers.groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "source", "source_at")).alias("__found"))
-    found = found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), "__found")
-    rows = docs.select(*keep, F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__d"), F.col(text).alias("__text"), _mark(F.col(text)).alias("__m"))
-    rows = rows.join(found, (F.col("__d") == F.col("__doc")) & (F.col("__m") == F.col("__mark")), "left").select(*keep, "__text", "__found")
+    found = repeated_paths(docs, key, text, k, parts).dropDuplicates(["doc", "mark"])
+    found = found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.struct("start", "steps", "source", "source_start").alias("__found"))
+    rest = [c for c in keep if c != text]
+    rows = docs.select(*rest, F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__d"), _mark(F.col(text)).alias("__m"), F.col(text).alias("__text"))
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield b.assign(__text=[None if t is None else zip_(t.encode("utf-8", "surrogatepass")) for t in b["__text"]])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
+    rows = rows.mapInPandas(shrink, ", ".join(filter(None, [kinds, "__d long, __m long, __text binary"])))
+    rows = rows.join(found, (F.col("__d") == F.col("__doc")) & (F.col("__m") == F.col("__mark")), "left").select(*rest, "__text", "__found")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unzip = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            got = []
-            for t, answers in zip(b["__text"], b["__found"]):
-                w = words.split(t)
-                spans, gone = [], 0
-                if answers is not None and len(answers):
-                    at, source, source_at = _starts(answers)
-                    cover = np.zeros(len(w) + 1, np.int32)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + k, -1)
-                    left = np.cumsum(cover[:-1]) == 0
-                    gone = int(len(w) - left.sum())
-                    spans = [{"start": int(a), "length": int(n) + k - 1, "source": None if s == LAST else int(s), "source_start": int(p)} for a, n, s, p in zip(*paths(at, source, source_at))]
-                    n = len(w)
-                    w = [w[i] for i in np.flatnonzero(left)]
-                else:
-                    n = len(w)
-                got.append((n, gone, b" ".join(w).decode("utf-8", "surrogatepass"), spans))
-            out = b.drop(columns=["__text", "__found"]).reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(got, columns=["words", "removed", "kept", "spans"])], axis=1)
+            for i in range(0, len(b), 512):
+                part = b.iloc[i : i + 512]
+                texts = [None if t is None else unzip(t).decode("utf-8", "surrogatepass") for t in part["__text"]]
+                got = [_without(t, f, k) for t, f in zip(texts, part["__found"])]
+                out = part.drop(columns=["__text", "__found"]).reset_index(drop=True)
+                out = pd.concat([out, pd.DataFrame(got, columns=["words", "removed", "kept", "spans"])], axis=1)
+                yield (out.assign(**{text: texts}) if text in keep else out)[[*keep, "words", "removed", "kept", "spans"]]
 
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     spans = "array<struct<start: bigint, length: bigint, source: bigint, source_start: bigint>>"
     return rows.mapInPandas(run, ", ".join([*own, f"words long, removed long, kept string, spans {spans}"]))
+
+
+def _without(text: str | None, found: dict | None, k: int) -> tuple[int, int, str, list[dict]]:
+    """Number of words, how many went, the text left and the spans."""
+    w = words.split(text)
+    if found is None:
+        return len(w), 0, b" ".join(w).decode("utf-8", "surrogatepass"), []
+    at, steps = _risen(bytes(found["start"])), _unpack(bytes(found["steps"]))
+    source, source_at = np.frombuffer(bytes(found["source"]), "<i8"), _unpack(bytes(found["source_start"]))
+    cover = np.zeros(len(w) + 1, np.int32)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + steps + k - 1, -1)
+    left = np.flatnonzero(np.cumsum(cover[:-1]) == 0)
+    spans = [
+        {"start": a, "length": n + k - 1, "source": None if s == LAST else s, "source_start": p}
+        for a, n, s, p in zip(at.tolist(), steps.tolist(), source.tolist(), source_at.tolist())
+    ]
+    return len(w), len(w) - len(left), b" ".join([w[i] for i in left]).decode("utf-8", "surrogatepass"), spans
