@@ -35,4 +35,5 @@ def retry_after(header: Column, now: Column, most: int = 3600) -> Column:
     """Seconds of a Retry-After header, a number or an HTTP date, from 0 to `most`; null if it is neither."""
     seconds = header.try_cast("bigint")
     date = F.try_to_timestamp(F.regexp_replace(header, r"^\w{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
-    return F.greatest(F.lit(0), F.least(F.lit(most), F.coalesce(seconds, F.unix_seconds(date) - F.unix_seconds(now))))
+    wait = F.coalesce(seconds, F.unix_seconds(date) - F.unix_seconds(now))
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(most), wait)))
