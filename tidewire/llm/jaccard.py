@@ -8,10 +8,11 @@ is decided on whole sets. Candidates are narrowed in steps, each of which is saf
    packed by blocks of texts; within a partition they can only be taken for shared by mistake, never for unique.
 2. Equal sets are one class from here on, and step 1 runs again between the classes.
 3. Stars. For several orders, sets with the same first token are compared with the one of them that has the fewest unique
-   tokens. Most members of a large group of near copies are joined here, without comparing them with each other.
-4. Prefixes. For each of several orders, classes that share a token of their prefixes, lie in different components so far
-   and have sizes that can reach the threshold are candidates; only pairs that are candidates under every order are
-   verified. The components of all links found are the result.
+   tokens. Most members of a large group of near copies are joined here, without comparing them with each other, and what
+   two sets share with their centre bounds what they share with each other.
+4. Prefixes. For each of several orders, classes that lie in different components so far and share a token of the
+   prefixes that the overlap which two sets of their sizes need leaves to each are candidates; only pairs that are
+   candidates under every order are verified. The components of all links found are the result.
 """
 
 from __future__ import annotations
@@ -29,40 +30,45 @@ from tidewire.llm import words
 from tidewire.llm.common import cut, partitions, small
 from tidewire.llm.components import components
 
-BLOCK_TOKENS = 1_500_000  # of one block; bounds a task's memory
+NONE = -(1 << 63)  # stands for a null key
+BLOCK_TOKENS = 600_000  # of one block; bounds a task's memory
+
+
+def _sets(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """id and set of each row of (id, body): body is a text, of which it is made, or the packed set itself."""
+    for b in batches:
+        for i, body in zip(b["id"].tolist(), b["body"]):
+            raw = isinstance(body, (bytes, bytearray))
+            yield i, np.frombuffer(body, np.uint64) if raw else words.shingles(words.numbers(words.split(body, True)), n)
 
 
 def token_sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """id, tokens: each whole text's set as packed sorted 64-bit numbers, words lower-cased in A-Z."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.iloc[i : i + 512]
-                sets = [words.shingles(words.numbers(words.split(t, True)), n).tobytes() for t in part["__text"]]
-                yield pd.DataFrame({"id": part["id"], "tokens": sets})
+        for ids, sets in _blocks(_sets(batches, n)):
+            yield pd.DataFrame({"id": ids, "tokens": [s.tobytes() for s in sets]})
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text")).mapInPandas(run, "id long, tokens binary")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInPandas(run, "id long, tokens binary")
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _blocks(rows: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Rows collected until they hold BLOCK_TOKENS tokens."""
     ids, sets, held = [], [], 0
-    for b in batches:
-        for i, raw in zip(b["id"].tolist(), b["tokens"]):
-            s = np.frombuffer(raw, np.uint64)
-            if sets and held + len(s) > BLOCK_TOKENS:
-                yield ids, sets
-                ids, sets, held = [], [], 0
-            ids.append(i)
-            sets.append(s)
-            held += len(s)
+    for i, s in rows:
+        if sets and held + len(s) > BLOCK_TOKENS:
+            yield ids, sets
+            ids, sets, held = [], [], 0
+        ids.append(i)
+        sets.append(s)
+        held += len(s)
     if sets:
         yield ids, sets
 
 
-def shared_tokens(rows: DataFrame, parts: int, bits: bool) -> DataFrame:
-    """id, set_hash, n, shared (how many tokens other rows have too) and, if asked for, their bits over the sorted set.
+def shared_tokens(rows: DataFrame, parts: int, bits: bool, n: int = 0) -> DataFrame:
+    """Of rows (id, body), body a text or a packed set: id, set_hash, n, shared (how many tokens other rows have too) and,
+    if asked for, their bits over the sorted set.
 
     A block of rows sends to each partition of the token space its distinct numbers, once each whatever their number of
     rows, and gets back which of those that only one row of the block has are known to other blocks.
@@ -71,11 +77,11 @@ def shared_tokens(rows: DataFrame, parts: int, bits: bool) -> DataFrame:
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get().partitionId()
-        for count, (ids, sets) in enumerate(_blocks(batches)):
+        for count, (ids, sets) in enumerate(_blocks(_sets(batches, n))):
             block = task << 32 | count
             sizes = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(sets)), sizes)
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
             order = np.argsort(flat, kind="stable")
             same = np.zeros(len(flat), bool)
             same[1:] = flat[order][1:] == flat[order][:-1]
@@ -86,9 +92,9 @@ def shared_tokens(rows: DataFrame, parts: int, bits: bool) -> DataFrame:
             known = flat[order][twice & ~same]
             sums = [int(words.mix(s, 7).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
             hashes = np.array([(h ^ (len(s) * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF for h, s in zip(sums, sets)], np.uint64)
-            head = pd.DataFrame({"id": pd.array(ids, "Int64"), "h": hashes.astype(np.int64), "n": sizes})
-            part = (flat // np.uint64(width)).astype(np.int64)
-            kpart = (known // np.uint64(width)).astype(np.int64)
+            head = pd.DataFrame({"id": np.array(ids, np.int64), "h": hashes.astype(np.int64), "n": sizes})
+            part = (flat // np.uint64(width)).astype(np.int32)
+            kpart = (known // np.uint64(width)).astype(np.int32)
             cells = np.argsort(part, kind="stable")  # by partition, then row, then token
             ends = np.searchsorted(part[cells], np.arange(parts + 1))
             kends = np.searchsorted(kpart, np.arange(parts + 1))
@@ -170,14 +176,14 @@ def classes(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80,
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()[0]
     parts = max(partitions(spark), math.ceil(size / (16 << 20)))
-    every = cut(shared_tokens(token_sets(docs, key, text, n), parts, False))
-    able = every.where(F.col("id").isNotNull() & (F.col("n") > 0) & (F.col("shared") >= _least_overlap(F.col("n"), percent)))
+    every = cut(shared_tokens(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("id"), F.col(text).alias("body")), parts, False, n))
+    able = every.where((F.col("id") != NONE) & (F.col("n") > 0) & (F.col("shared") >= _least_overlap(F.col("n"), percent)))
     reps = cut(able.groupBy("set_hash", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     # The sets of the classes' first texts, and which of their tokens other classes have.
     wanted = small(reps.select(F.col("rep").alias("__rep"), F.col("set_hash").alias("__h")), 1_000_000)
     own = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__t")).join(wanted, F.col("__id") == F.col("__rep"))
     sets = cut(token_sets(own, "__id", "__t", n).groupBy(F.col("id"), F.xxhash64("tokens").alias("t")).agg(F.first("tokens").alias("tokens")).select("id", "tokens"))
-    marked = shared_tokens(sets, parts, True).where(F.col("shared") >= _least_overlap(F.col("n"), percent))
+    marked = shared_tokens(sets.withColumnRenamed("tokens", "body"), parts, True).where(F.col("shared") >= _least_overlap(F.col("n"), percent))
     near = cut(
         marked.join(sets.withColumnRenamed("id", "i"), (F.col("id") == F.col("i")) & (F.length("tokens") == F.col("n") * 8))
         .join(reps.select("rep", F.col("set_hash").alias("h")), (F.col("id") == F.col("rep")) & (F.col("set_hash") == F.col("h")))
@@ -189,64 +195,85 @@ def classes(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80,
         F.col("set_hash").alias("h"), F.col("n").alias("m"), F.col("rep"), F.coalesce("component", "rep").alias("c")
     )
     at = every.join(root, (F.col("set_hash") == F.col("h")) & (F.col("n") == F.col("m")), "left")
-    alone = (F.col("n") == 0) | F.col("id").isNull()
-    pick = lambda c: F.when(alone, F.col("id")).otherwise(F.coalesce(c, F.col("id")))
-    return at.select(F.col("id").alias(key), F.col("n").alias("n_tokens"), pick(F.col("rep")).alias("class_id"), pick(F.col("c")).alias("component"))
+    own_id = F.nullif(F.col("id"), F.lit(NONE))
+    pick = lambda c: F.when((F.col("n") == 0) | own_id.isNull(), own_id).otherwise(F.coalesce(c, F.col("id")))
+    return at.select(own_id.alias(key), F.col("n").alias("n_tokens"), pick(F.col("rep")).alias("class_id"), pick(F.col("c")).alias("component"))
 
 
-def _ranked(near: DataFrame, percent: int, orders: int) -> DataFrame:
-    """k, id, n, shared, place, token: of each order, a set's prefix among its shared tokens."""
+def _prefixes(near: DataFrame, percent: int, orders: int) -> DataFrame:
+    """id, n, shared, prefixes: of each order, a set's longest prefix among its shared tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), 256):
-                out = []
-                for x, n, raw, mask in b[["id", "n", "tokens", "bits"]].iloc[i : i + 256].itertuples(index=False):
-                    t = np.frombuffer(raw, np.uint64)
-                    t = t[np.unpackbits(np.frombuffer(mask, np.uint8), count=len(t)).astype(bool)]
-                    take = len(t) - -(-n * percent // 100) + 1
-                    for k in range(orders):
-                        o = t[np.argsort(words.mix(t, k + 1), kind="stable")[:take]]
-                        out.append(pd.DataFrame({"k": k, "id": x, "n": n, "shared": len(t), "place": np.arange(len(o)), "token": o.astype(np.int64)}))
-                if out:
-                    yield pd.concat(out)
+            out = []
+            for raw, mask, n in zip(b["tokens"], b["bits"], b["n"]):
+                t = np.frombuffer(raw, np.uint64)
+                t = t[np.unpackbits(np.frombuffer(mask, np.uint8), count=len(t)).astype(bool)]
+                take = len(t) - -(-n * percent // 100) + 1
+                out.append([t[np.argsort(words.mix(t, k + 1), kind="stable")[:take]].astype(np.int64).tolist() for k in range(orders)])
+            yield b[["id", "n", "shared"]].assign(prefixes=out)
 
-    return near.mapInPandas(run, "k int, id long, n long, shared long, place int, token long")
+    return near.mapInPandas(run, "id long, n long, shared long, prefixes array<array<long>>")
 
 
-def _verified(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets reach the threshold."""
+def _compared(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """a, b, both (tokens in common) and linked of pairs, from their whole sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = []
+            shared, linked = [], []
             for x, y in zip(b["x"], b["y"]):
                 both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort(kind="stable")
                 inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(both) - inter))
-            yield b.loc[keep, ["a", "b"]]
+                shared.append(inter)
+                linked.append(100 * inter >= percent * (len(both) - inter))
+            yield b[["a", "b"]].assign(both=shared, linked=linked)
 
     x, y = near.select(F.col("id").alias("a"), F.col("tokens").alias("x")), near.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, both long, linked boolean")
 
 
 def _links(near: DataFrame, percent: int, orders: int) -> DataFrame:
     """Edges that connect exactly what the links between the sets of near connect."""
     spent = percent / (100 + percent)
-    prefixes = cut(_ranked(near, percent, orders))
-    first = prefixes.where("place = 0")
+    sets = cut(_prefixes(near, percent, orders))
+    first = sets.select("id", "n", "shared", F.posexplode("prefixes").alias("k", "p")).select("k", "id", "n", "shared", F.col("p")[0].alias("token"))
     centre = first.groupBy("k", "token").agg(F.min_by("id", F.struct(-F.col("shared") / F.col("n"), "id")).alias("c"))
-    star = first.join(centre, ["k", "token"]).where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    found = cut(_verified(star, near, percent))
+    star = cut(first.join(centre, ["k", "token"]).select("k", "id", "c"))
+    pairs = star.where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    stars = cut(_compared(pairs, near, percent))
+    found = stars.where("linked").select("a", "b")
     comp = components(found)
-    rows = prefixes.join(comp, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
-    mixed = rows.groupBy("k", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k", "token")
-    rows = cut(rows.join(mixed, ["k", "token"], "left_semi"))
-    other = rows.select("k", "token", *[F.col(c).alias(c + "2") for c in ("id", "n", "shared", "comp")])
-    reach = F.least("shared", "shared2") >= F.ceil((F.col("n") + F.col("n2")) * F.lit(spent) - 1e-9)
-    fits = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & reach
-    pairs = rows.join(other, ["k", "token"]).where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & fits)
-    agreed = pairs.groupBy(F.col("id").alias("a"), F.col("id2").alias("b")).agg(F.expr("bit_or(shiftleft(1, k))").alias("seen"))
-    more = _verified(agreed.where(F.col("seen") == (1 << orders) - 1).select("a", "b"), near, percent)
-    return found.unionByName(more)
+    # Each set with its component so far and, for each order, its centre and the tokens that it shares with that.
+    spoke = star.withColumns({"a": F.least("id", "c"), "b": F.greatest("id", "c")}).join(stars.select("a", "b", "both"), ["a", "b"], "left")
+    spoke = spoke.groupBy(F.col("id").alias("s")).agg(F.array_sort(F.collect_list(F.struct("k", "c", "both"))).alias("centres"))
+    known = sets.join(comp, F.col("id") == F.col("node"), "left").join(spoke, F.col("id") == F.col("s"))
+    known = cut(known.select("id", "n", "shared", F.coalesce("component", "id").alias("comp"), "centres", "prefixes"))
+    light = known.select("id", "comp", F.posexplode(F.col("prefixes")[0]).alias("place", "token"))
+    mixed = light.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    light = light.join(mixed, "token", "left_semi").select(F.col("id").alias("i"), "place", "token")
+    rows = cut(light.join(known, F.col("i") == F.col("id")).select("id", "n", "shared", "comp", "centres", "place", "token", F.slice(F.col("prefixes")[0], F.lit(1), F.col("place")).alias("before")))
+    other = rows.select("token", *[F.col(c).alias(c + "2") for c in rows.columns if c != "token"])
+    # Two sets that share `need` tokens share one of the first shared - need + 1 of each, in any common order. Of two sets
+    # with one centre, what they share is no more than what the lesser shares with the centre and what the lesser has
+    # besides. A pair meets at its first common token only.
+    need = F.ceil((F.col("n") + F.col("n2")) * F.lit(spent) - 1e-9)
+    apart = F.lit(False)
+    for k in range(orders):
+        x, y = F.col("centres")[k], F.col("centres2")[k]
+        i, j = F.coalesce(x["both"], "shared"), F.coalesce(y["both"], "shared2")  # the centre itself has no spoke
+        apart = apart | ((x["c"] == y["c"]) & (F.least(i, j) + F.least(F.col("shared") - i, F.col("shared2") - j) < need))
+    on = (
+        (rows["token"] == other["token"]) & (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))
+        & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+        & (F.col("place") <= F.col("shared") - need) & (F.col("place2") <= F.col("shared2") - need) & ~apart & ~F.arrays_overlap("before", "before2")
+    )
+    met = rows.join(other, on).select(F.col("id").alias("a"), F.col("id2").alias("b"), need.alias("need"))
+    both = met.join(known.select(F.col("id").alias("a"), F.col("shared").alias("m"), F.col("prefixes").alias("p")), "a")
+    both = both.join(known.select(F.col("id").alias("b"), F.col("shared").alias("m2"), F.col("prefixes").alias("p2")), "b")
+    upto = lambda q, m, k: F.slice(F.col(q)[k], F.lit(1), F.greatest(F.col(m) - F.col("need") + 1, F.lit(0)).cast("int"))
+    for k in range(1, orders):
+        both = both.where(F.arrays_overlap(upto("p", "m", k), upto("p2", "m2", k)))
+    more = _compared(cut(both.select("a", "b")), near, percent)
+    return found.unionByName(more.where("linked").select("a", "b"))
