@@ -60,3 +60,31 @@ def test_host_votes_and_defined_cases(spark):
     assert got[9].text == " ".join(short.split()) and got[9].consensus and got[0].path == got[9].path
     assert got[10].text == got[11].text == "" and got[None].text == "plain text"
     assert main_text(df.limit(0), "url", "html", ["page_id"]).count() == 0
+
+
+A, B, C = "First part of the text. " * 30, "Second part. " * 25, "Third part, in short."
+SPLIT = {
+    "two sections": (f"<article><div class='sec-1'>{A}</div><div class='sec-2'>{B}</div></article>", [A, B]),
+    "equal sections": (f"<article><section id='a'><p>{A}</p></section><section id='b'><p>{A}</p></section><section id='c'><p>{A}</p></section></article>", [A, A, A]),
+    "named sections": (f"<article><div class='intro'><p>{B}</p></div><div class='body'><p>{A}</p></div><div class='end'>{C}</div></article>", [B, A, C]),
+    "five sections": ("<article>" + "".join(f"<div class='{k}'><p>{A} {k}</p></div>" for k in "vwxyz") + "</article>", [f"{A} {k}" for k in "vwxyz"]),
+    "heading in the article": (f"<article><h1>Title</h1><div class='body'><p>{A}</p></div></article>", ["Title", A]),
+    "heading before the article": (f"<main><h1>Title</h1><article><p>{A}</p></article><div class='x'><a href='/'>{B}</a></div></main>", ["Title", A]),
+    "no article": (f"<div class='post'><h2>Title</h2><p>{C}</p><div class='one'><p>{A}</p></div><div class='two'><p>{B}</p></div><ul><li><a href='/'>Elsewhere</a></ul></div>", ["Title", C, A, B]),
+    "rows": (f"<div class='post'><div class='row'><div class='t'>{A}</div></div><div class='row'><div class='t'>{B}</div></div></div>", [A, B]),
+    "sections in the body": (f"<h1>Title</h1><div class='s1'><p>{A}</p></div><div class='s2'><p>{B}</p></div><div class='other'><p>{C}</p></div>", ["Title", A, B]),
+}
+
+
+@pytest.mark.parametrize("case", SPLIT)
+def test_all_parts_of_a_text_are_taken(case):
+    body, want = SPLIT[case]
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{body}<footer>&copy; someone, long, words, and, commas</footer></body></html>"
+    assert own(page)[0].split("\n\n") == [" ".join(x.split()) for x in want]
+
+
+def test_host_votes_do_not_split_a_text(spark):
+    pages = [SPLIT[k] for k in ("two sections", "equal sections", "named sections", "five sections", "heading in the article")]
+    df = spark.createDataFrame([(i * 10 + k, f"http://h{i}.example/{k}", f"<body>{p}</body>") for i, (p, _) in enumerate(pages) for k in range(4)], "page_id long, url string, html string")
+    got = main_text(df, "url", "html", ["page_id"]).collect()
+    assert len(got) == 20 and all(r.consensus and r.text.split("\n\n") == [" ".join(x.split()) for x in pages[r.page_id // 10][1]] for r in got)

@@ -1,9 +1,10 @@
 """Main text of web pages by consensus of each host's pages.
 
 Every page is parsed and its containers are scored by the prose that stands in them. A container is known by its path of
-tags and classes, with numbers generalised, so that one template gives one path. The pages of a host vote with their best
+tags and classes, with numbers generalised, so that one template gives one path. The pages of a host vote with all their
 containers; the votes are summed in Spark. Each page is then extracted again with its host's winning path, or, where it
-has no such container, with its own best one.
+has no such container, with its own best one. All containers of that path count, each as the whole `article` that it
+stands in if there is one; what belongs to them beside them, as headings and prose, is taken along (see `extract`).
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ CONTAINERS = frozenset("html body main article section div ul ol dl table tbody
 ASIDE = frozenset("nav footer aside form header dialog menu button fieldset head".split())
 CLOSES_ITSELF = frozenset("p li dt dd td th tr".split())
 BREAKS = frozenset("br hr wbr".split())
+PAGE = frozenset(["", "html", "body"])  # what stands side by side in them are regions of the page, not parts of one text
 # Words that mark page furniture in a class, id or role.
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|copyright|disqus|disclaimer|footer|"
@@ -146,7 +148,12 @@ def candidates(root: Box) -> list[Box]:
 
 def blocks(box: Box) -> list[str]:
     """The blocks of a container in page order without furniture; of a header within it, the headings stay."""
-    out: list[str] = []
+    return [t for _, t in _items(box)]
+
+
+def _items(box: Box) -> list[tuple[str, str]]:
+    """(kind, text) of blocks()."""
+    out: list[tuple[str, str]] = []
     stack = [iter([box])]
     headings = [False]
     while stack:
@@ -160,14 +167,71 @@ def blocks(box: Box) -> list[str]:
                 stack.append(iter(x.items))
                 headings.append(only and x is not box)
         elif not headings[-1] or x[0] in ("h1", "h2"):
-            out.append(x[1])
+            out.append(x[:2])
+    return out
+
+
+def _chain(box: Box) -> list[Box]:
+    """The box and those above it, the root last."""
+    found = [box]
+    while found[-1].parent:
+        found.append(found[-1].parent)
+    return found
+
+
+def _is_prose(box: Box) -> bool:
+    """Whether a container holds more prose than links, furniture left out."""
+    return sum(len(x[1]) - 2 * x[2] for b in _walk(box) for x in b.items if not isinstance(x, Box)) > 0
+
+
+def _together(parts: list[Box]) -> list[str]:
+    """The blocks of the parts in page order, with what stands beside them in the least container above them all."""
+    chains = [_chain(b)[1:] or [b] for b in parts]
+    common = {id(b) for b in chains[0]}.intersection(*({id(b) for b in c} for c in chains[1:]))
+    above = next(b for b in chains[0] if id(b) in common)
+    if above is parts[0]:
+        return blocks(above)
+    whole = {id(b): _items(b) for b in parts}
+    holds = {id(b) for c in chains for b in c}
+    beside = above.tag not in PAGE and not any(b.tag == "article" for b in parts)
+    untitled = not any(k in ("h1", "h2") for got in whole.values() for k, _ in got)
+    out: list[str] = []
+    stack = [iter(above.items)]
+    while stack:
+        x = next(stack[-1], None)
+        if x is None:
+            stack.pop()
+        elif not isinstance(x, Box):
+            if (beside and len(x[1]) > 2 * x[2]) or (untitled and x[0] in ("h1", "h2")):
+                out.append(x[1])
+        elif id(x) in whole:
+            out += [t for _, t in whole[id(x)]]
+        elif id(x) in holds:
+            stack.append(iter(x.items))
+        elif x.tag == "header":
+            if above.tag not in PAGE and (beside or untitled):
+                out += [t for k, t in _items(x) if k in ("h1", "h2")]
+        elif beside and not x.furniture and _is_prose(x):
+            out += blocks(x)
     return out
 
 
 def extract(root: Box, ranked: list[Box], path: str | None) -> tuple[str, str]:
-    """The text, its blocks joined by blank lines, and the path used."""
+    """The text, its blocks joined by blank lines, and the path used.
+
+    All containers of the path are taken, in page order. One that stands in an `article` stands for the whole outermost
+    article. Others bring along the headings, prose and prose containers beside them, unless these are regions of the
+    page, directly in its body. A text without a heading takes one that stands beside it.
+    """
     best = next((b for b in ranked if b.path == path), ranked[0] if ranked else None)
-    return ("\n\n".join(blocks(best)), best.path) if best else ("", "")
+    if not best:
+        return "", ""
+    parts: dict[int, Box] = {}
+    for b in ranked:
+        if b.path == best.path:
+            whole = next((x for x in reversed(_chain(b)) if x.tag == "article"), b)
+            parts[id(whole)] = whole
+    return "\n\n".join(_together(list(parts.values()))), best.path
 
 
 def host_of(url) -> F.Column:
@@ -175,15 +239,15 @@ def host_of(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def host_paths(pages: DataFrame, url: str, page: str, votes: int = 3) -> DataFrame:
-    """host, path: the winner of each host. A page gives its `votes` best containers shares of one vote; sums are rounded,
-    and ties go to the path first in alphabetical order."""
+def host_paths(pages: DataFrame, url: str, page: str) -> DataFrame:
+    """host, path: the winner of each host. A page gives all its containers shares of one vote; sums are rounded, and ties
+    go to the path first in alphabetical order."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             tally: dict[tuple[str, str], float] = {}
             for host, text in zip(b["host"], b["__page"]):
-                top = candidates(parse(text or ""))[:votes]
+                top = candidates(parse(text or ""))
                 total = sum(c.score for c in top)
                 for c in top:
                     tally[host, c.path] = tally.get((host, c.path), 0.0) + c.score / total
