@@ -147,8 +147,8 @@ def pair_features(spark, sf_dir):
 
 @query("pair_fuzzy")
 def pair_fuzzy(spark, sf_dir):
-    """Fuzzy ratios and the match decision of neighbouring turns; Python in Arrow batches."""
-    a, b = F.substring("a", 1, 220), F.substring("b", 1, 220)
+    """Fuzzy ratios and the match decision of neighbouring whole turns; Python in Arrow batches."""
+    a, b = F.col("a"), F.col("b")
     t = _turns(spark, sf_dir).select("conv_id", "turn", "a", "b", fuzzy.score(fuzzy.weighted, a, b).alias("title"), fuzzy.score(fuzzy.token_set, a, b).alias("token_set"), fuzzy.score(fuzzy.partial, a, b).alias("partial"))
     semantic = N.jaccard(T.content_words(F.col("a")), T.content_words(F.col("b")))
     score = M.match_score(semantic, M.lexical(F.col("title"), F.col("token_set"), F.col("partial")), F.lit(0.5), F.lit(0.0), F.lit(1.0))
