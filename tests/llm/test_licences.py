@@ -50,3 +50,44 @@ def test_equals_sql(spark, df, tmp_path, own):
     want = con.sql(ORACLES["op10_licences"]).fetchall()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, op10_licences(spark, folder).collect()), key=key) == sorted(want, key=key)
+
+
+def gnu(name, thing, version, a=";", b=";"):
+    return f"""/* This {thing} is free software{a} you can redistribute it and/or modify
+ * it under the terms of the {name} as published by
+ * the Free Software Foundation{b} either version {version} of the License, or
+ * (at your option) any later version.
+ *
+ * This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+ * warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.
+ */"""
+
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+FURTHER = [
+    (gnu("GNU General Public License", "program", "2"), "GPL-2.0-or-later"),
+    (gnu("GNU General Public License", "library", "3", ":", ","), "GPL-3.0-or-later"),
+    (gnu("GNU Lesser General Public License", "library", "2.1"), "LGPL-2.1-or-later"),
+    (gnu("GNU Affero General Public License", "program", "3", ":", ","), "AGPL-3.0-or-later"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "GPL-2.0-only"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one.", "MPL-2.0"),
+    (ISC, "ISC"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ("// SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0-or-later"),
+    ("All rights\nreserved", "LicenseRef-All-Rights-Reserved"),
+    ("All  rights   reserved.", "LicenseRef-All-Rights-Reserved"),
+]
+
+
+def test_common_licences_and_wrapped_rights(spark, tmp_path):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(FURTHER)], "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.unmatched) for r in scan(df, "text", ["doc_id"]).collect()}
+    assert got == {k: ([name], 0) for k, (_, name) in enumerate(FURTHER)}
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.sql(ORACLES["op10_licences"]).fetchall()) == sorted(map(tuple, op10_licences(spark, str(tmp_path)).collect()))

@@ -71,7 +71,8 @@ RULES = [
     ("LicenseRef-All-Rights-Reserved", ["rights"]),
 ]
 BREAK, WRAP, OTHER = r"([.!?;])[ \t\r\n\f]+", r"([^\n])\n([^\n])", r"[^A-Za-z0-9\n]+"
-CUES = ["licens", "permission", "warrant", "redistribut", "copyright", "rights reserved"]
+# Parts of words, at least one in every known sentence, so a text without them has none, however its lines are wrapped.
+CUES = ["licens", "permission", "warrant", "redistribut", "copyright", "reserved", "domain", "released", "distributed"]
 
 
 def normalise(sentence: str) -> str:
@@ -81,10 +82,99 @@ def normalise(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+# Further wordings. A sentence here has the identifier of the list or of a notice of that licence.
+VARIANTS: list[tuple[str, str]] = []
+
+
+def _further() -> None:
+    """Notices, headers and first sentences of the GNU licences and others, from their parts."""
+    gnu = [("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"), ("LGPL", "GNU Library General Public License"), ("AGPL", "GNU Affero General Public License")]
+    versions = {"GPL": ["2", "3"], "LGPL": ["2", "2.1", "3"], "AGPL": ["3"]}
+    things = ["program", "library", "software", "file"]
+    spdx = lambda v: v if "." in v else v + ".0"
+    for v in ("2", "2.1", "3"):
+        SENTENCES[f"later-{v}"] = f"either version {v} of the License, or (at your option) any later version"
+        SENTENCES[f"only-{v}"] = f"version {v} of the License"
+    for thing in things[1:]:
+        VARIANTS.append((f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "gpl-hope"))
+    for short, name in gnu:
+        can = "you can redistribute it and/or modify it under the terms of the"
+        fsf = "as published by the Free Software Foundation"
+        low = short.lower()
+        VARIANTS.append((f"{can} {name} {fsf}", f"{low}-terms"))
+        VARIANTS.extend((f"This {t} is free software: {can} {name} {fsf}", f"{low}-terms") for t in things)
+        if short != "GPL":
+            VARIANTS.append((f"See the {name} for more details", "gpl-details"))
+        for v in versions[short]:
+            later, only = f"{low}-{v}-later", f"{low}-{v}-only"
+            tail = f"either version {v} of the License, or (at your option) any later version"
+            VARIANTS.append((f"{can} {name} {fsf}, {tail}", later))
+            for t in things:
+                if (short, v, t) != ("GPL", "3", "program"):  # gpl-free above
+                    VARIANTS.append((f"This {t} is free software: {can} {name} {fsf}, {tail}", later))
+            for w in (f"version {v}", f", version {v},", f"version {v} only"):
+                VARIANTS.append((f"{can} {name} {w} {fsf}", only))
+                VARIANTS.append((f"This program is free software: {can} {name} {w} {fsf}", only))
+            VARIANTS.append((f"{can} {name} {fsf}, version {v} of the License", only))
+    for short in versions:
+        low = short.lower()
+        for v in versions[short]:
+            ends = ["gpl-hope", "gpl-without", "gpl-details"]
+            for name, forms in ((f"{short}-{spdx(v)}-or-later", [[f"{low}-{v}-later"], [f"{low}-terms", f"later-{v}"]]), (f"{short}-{spdx(v)}-only", [[f"{low}-{v}-only"], [f"{low}-terms", f"only-{v}"]])):
+                for form in forms:
+                    RULES.extend([(name, form + ends), (name, form)])
+
+    def notice(licence: str, *names: str, also: tuple[str, ...] = ()) -> None:
+        """Short notices by the licence's names, its SPDX line, and other sentences that tell it."""
+        have = {normalise(x) for x in SENTENCES.values()}
+        mark = f"notice-{licence.lower()}"
+        said = [f"{a} {n}" for n in names for a in ("Licensed under", "Licensed under the", "Released under the", "Distributed under the", "This work is licensed under the", "This work is licensed under a", "This project is licensed under the", "This software is licensed under the")]
+        said += [f"SPDX-License-Identifier: {licence}", *also]
+        VARIANTS.extend((x, mark) for x in said if normalise(x) not in have)
+        RULES.append((licence, [mark]))
+
+    notice("MIT", "MIT License")
+    notice("Apache-2.0", "Apache License, Version 2.0", "Apache License 2.0", also=("Apache License Version 2.0, January 2004",))
+    notice("BSD-2-Clause", "BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License")
+    notice("BSD-3-Clause", "BSD 3-Clause License", "3-Clause BSD License", "New BSD License")
+    for short, name in (gnu[0], gnu[1], gnu[3]):
+        for v in versions[short]:
+            said = [f"{name}, version {v}", f"{name} v{v}", f"{name} v{spdx(v)}", f"{short}v{v}", f"{short}-{spdx(v)}"]
+            mark = f"{short}-{spdx(v)}"
+            notice(f"{mark}-only", *(f"{n} only" for n in said))
+            notice(f"{mark}-or-later", *(f"{n} or later" for n in said), f"{name}, version {v} or (at your option) any later version")
+            if short == "GPL":
+                dates = {"2": "June 1991", "3": "29 June 2007"}
+            else:
+                dates = {"2": "June 1991", "2.1": "February 1999", "3": "29 June 2007" if short == "LGPL" else "19 November 2007"}
+            notice(mark, *said, also=(f"{name} Version {v}, {dates[v]}",))
+    VARIANTS[:] = [x for x in VARIANTS if not any(x[0] == f"SPDX-License-Identifier: {k}-{v}" for k in versions for v in ("2.0", "2.1", "3.0"))]  # `+` is not told apart
+    notice("MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "MPL 2.0", also=("This Source Code Form is subject to the terms of the Mozilla Public License, v", "Mozilla Public License Version 2.0"))
+    notice("MPL-1.1", "Mozilla Public License 1.1", "Mozilla Public License, Version 1.1", also=('The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License")',))
+    notice("EPL-1.0", "Eclipse Public License 1.0", "Eclipse Public License v1.0", also=("Eclipse Public License - v 1.0",))
+    notice("EPL-2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0", also=("Eclipse Public License - v 2.0",))
+    isc = "Permission to use, copy, modify, {} distribute this software for any purpose with or without fee is hereby granted"
+    keep = ", provided that the above copyright notice and this permission notice appear in all copies"
+    notice("ISC", "ISC License", also=(isc.format("and/or") + keep, isc.format("and") + keep))
+    notice("0BSD", "Zero-Clause BSD License", "BSD Zero Clause License", also=(isc.format("and/or"),))
+    notice("Unlicense", "Unlicense", also=("This is free and unencumbered software released into the public domain",))
+    notice("BSL-1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0", also=("Boost Software License - Version 1.0 - August 17th, 2003", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'))
+    notice("CC0-1.0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal")
+    for kind, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        notice(f"CC-{kind}-4.0", f"CC {kind} 4.0", f"Creative Commons {long} 4.0 International License", f"Creative Commons {long} 4.0 International")
+        notice(f"CC-{kind}-3.0", f"CC {kind} 3.0", f"Creative Commons {long} 3.0 Unported License", f"Creative Commons {long} 3.0 Unported")
+
+
+_further()
+
+
 def known() -> dict[str, str]:
     """Normalised sentence to identifier; a sentence of this list holds no sentence end within."""
     found = {normalise(s): i for i, s in SENTENCES.items()}
-    assert len(found) == len(SENTENCES) and all(any(c in s for c in CUES) for s in found)
+    assert len(found) == len(SENTENCES)
+    for s, i in VARIANTS:
+        assert found.setdefault(normalise(s), i) == i, s
+    assert all(any(c in s for c in CUES) for s in found) and not any(" " in c for c in CUES)
     return found
 
 
@@ -101,7 +191,8 @@ def sentence_ids(text: Column) -> Column:
 
     def cut(t: Column) -> Column:
         body = F.lower(F.regexp_replace(F.regexp_replace(t, BREAK, "$1\n\n"), OTHER, " "))
-        return F.filter(F.transform(F.split(body, "\n"), lambda s: F.array_position(names, F.trim(s))), lambda k: k > 0)
+        cued = F.filter(F.split(body, "\n"), lambda s: s.rlike("|".join(CUES)))
+        return F.filter(F.transform(cued, lambda s: F.array_position(names, F.trim(s))), lambda k: k > 0)
 
     lines = cut(text)
     wrapped = cut(F.regexp_replace(F.regexp_replace(text, BREAK, "$1\n\n"), WRAP, "$1 $2"))
