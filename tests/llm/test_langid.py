@@ -47,3 +47,11 @@ def test_nothing_to_learn_and_empty_table(spark):
     model = fit(df.limit(0), "text", "lang", F.col("doc_id"))
     assert {r.lang_pred for r in predict(df, model, "text", ["doc_id"]).collect()} == {"und"}
     assert predict(df.limit(0), model, "text", ["doc_id"]).count() == 0
+
+
+def test_symbols_beyond_the_basic_plane_are_no_letters(spark):
+    assert counts("\U0001f642\U0001f680 \U0001f600", 256)[1] == 0 and counts("\U00020000\U0001d400", 256)[1] == 2
+    assert (counts("salo\U0001f642mire", 256)[0] == counts("salo mire", 256)[0]).all()
+    model = fit(docs(spark), "text", "lang", F.col("doc_id"), Settings(per_language=30))
+    got = predict(spark.createDataFrame([(1, "\U0001f642\U0001f680" * 20)], "doc_id long, text string"), model, "text", ["doc_id"]).first()
+    assert (got.lang_pred, got.score, got.rejected) == ("und", 0.0, True)

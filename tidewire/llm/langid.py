@@ -42,14 +42,14 @@ class Model:
 def _letters() -> np.ndarray:
     global _LETTER
     if _LETTER is None:
-        _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
+        _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
     return _LETTER
 
 
 def _codes(text: str) -> np.ndarray:
     """Lower-cased code points, each run of other characters than letters as one space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    ok = _letters()[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    ok = _letters()[c]
     c = np.where(ok, c, np.uint32(32))
     return c[ok | np.r_[True, ok[:-1]]] if len(c) else c
 
