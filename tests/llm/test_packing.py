@@ -72,6 +72,13 @@ def test_reduction_never_costs_a_sequence(seed):
         assert 1 + fewest(rest, cap) == fewest(sizes, cap)
 
 
+@pytest.mark.parametrize("sizes", [(300, 200, 100, 50), (400, 300, 200, 100, 24), (90, 80, 70, 60, 50, 40), (1000, 300, 200, 100, 50)])
+def test_few_small_pieces_share_a_sequence(sizes):
+    plan = make_plan({s: 1 for s in sizes}, 1024)
+    assert plan.sequences == fewest(list(sizes), 1024)
+    assert sorted(s for b in fill(plan).values() for _, s in b) == sorted(sizes)
+
+
 def test_counts_of_any_size():
     plan = make_plan({s: 10**9 + s for s in range(1, 1025)}, 1024)
     total = sum(s * (10**9 + s) for s in range(1, 1025))

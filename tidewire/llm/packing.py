@@ -67,7 +67,6 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
         left[s] = n
     runs: list[tuple[int, tuple[tuple[int, int], ...]]] = []  # how many sequences, and (size, pieces) in each
     size = capacity
-    undecided: list[tuple[int, int]] = []
     while size > 0:
         n = int(left[size])
         if not n:
@@ -76,9 +75,7 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
         left[size] -= 1
         found = dominating_set(size, left, capacity)
         left[size] += 1
-        if found is None:
-            undecided.append((size, n))
-            left[size] = 0
+        if found is None:  # its pieces stay rivals, and may go into the sets of smaller ones
             size -= 1
             continue
         need: dict[int, int] = {size: 1}
@@ -99,7 +96,11 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
             bisect.insort(rooms, room)
         open_.setdefault(room, []).append((n, content))
 
-    for s, n in undecided:
+    fixed, runs = runs, []
+    for n, content in fixed:  # what room they leave is open to best fit too
+        put(capacity - sum(s * c for s, c in content), n, content)
+    for s in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[s])
         while n:
             at = bisect.bisect_left(rooms, s)
             if at < len(rooms):
@@ -121,7 +122,7 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
                     n, full = 0, full + 1
                 if full < m:
                     put(room, m - full, content)
-    runs += [(n, content) for groups in open_.values() for n, content in groups]
+    runs = [(n, content) for groups in open_.values() for n, content in groups]
     ranks: dict[int, int] = {}
     for n, content in runs:
         offset = 0
