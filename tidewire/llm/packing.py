@@ -60,22 +60,21 @@ def dominating_set(j: int, left: np.ndarray, capacity: int) -> tuple[int, ...] |
     return (k, b) if b else (k,)
 
 
-def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """Pack `histogram` (pieces by size, sizes 1 to capacity)."""
-    left = np.zeros(capacity + 1, np.int64)
-    for s, n in histogram.items():
-        left[s] = n
-    runs: list[tuple[int, tuple[tuple[int, int], ...]]] = []  # how many sequences, and (size, pieces) in each
-    size = capacity
+def reduce(left: np.ndarray, capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """Fix dominating sets, by falling size, and take their pieces out of `left`, the pieces by size: how many sequences,
+    and the (size, pieces) in each. A size for which nothing is proven stays, and so stays a rival of the smaller ones.
+
+    What is fixed never costs a sequence: packing what is left in the fewest gives the fewest of all.
+    """
+    fixed, size = [], capacity
     while size > 0:
-        n = int(left[size])
-        if not n:
+        if not left[size]:
             size -= 1
             continue
         left[size] -= 1
         found = dominating_set(size, left, capacity)
         left[size] += 1
-        if found is None:  # its pieces stay rivals, and may go into the sets of smaller ones
+        if found is None:
             size -= 1
             continue
         need: dict[int, int] = {size: 1}
@@ -85,8 +84,17 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
         times = min(int(left[s]) // c for s, c in need.items())
         for s, c in need.items():
             left[s] -= c * times
-        runs.append((times, tuple(sorted(need.items(), reverse=True))))
-    plan = Plan(reduced=sum(n for n, _ in runs))
+        fixed.append((times, tuple(sorted(need.items(), reverse=True))))
+    return fixed
+
+
+def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """Pack `histogram` (pieces by size, sizes 1 to capacity)."""
+    left = np.zeros(capacity + 1, np.int64)
+    for s, n in histogram.items():
+        left[s] = n
+    fixed = reduce(left, capacity)
+    plan = Plan(reduced=sum(n for n, _ in fixed))
     # Best fit decreasing over counts: open sequences by their room, each group with one content.
     open_: dict[int, list[tuple[int, tuple]]] = {}
     rooms: list[int] = []
@@ -96,7 +104,6 @@ def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
             bisect.insort(rooms, room)
         open_.setdefault(room, []).append((n, content))
 
-    fixed, runs = runs, []
     for n, content in fixed:  # what room they leave is open to best fit too
         put(capacity - sum(s * c for s, c in content), n, content)
     for s in np.flatnonzero(left)[::-1].tolist():

@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 
 from tidewire.llm.packing import pieces, place
 
-CAPACITY, END, VOCABULARY = 1024, 2, "byte_bpe_50k.tiktoken"
+CAPACITY, END = 1024, 2
+LIBRARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+BLANK = 10_000  # a longer run of white space goes to the library itself
 
 
 def byte_bpe_encoder():
-    """ids as the tokenizers library gives them for byte_bpe_50k.json without special tokens: the same vocabulary and
-    split pattern, read as ranks (tests/llm holds one against the other)."""
+    """ids as tokenizers gives them for byte_bpe_50k.json with add_special_tokens=False.
+
+    Texts without the file's added tokens and without very long runs of white space, on which the fast encoder of the same
+    vocabulary and split pattern would overflow its stack, are encoded by that; all others by the library itself. tests/llm
+    holds one against the other.
+    """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path(VOCABULARY), "rb") as f:
+    with open(public_tokenizers.path(LIBRARY), encoding="utf-8") as f:
+        added = [re.escape(t["content"]) for t in json.load(f)["added_tokens"]]
+    with open(public_tokenizers.path(RANKS), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    special = re.compile("|".join([*added, rf"\s{{{BLANK}}}"]))
+    library: list[Tokenizer] = []
+
+    def encode(text: str) -> list[int]:
+        if not special.search(text):
+            return fast(text)
+        if not library:
+            library.append(Tokenizer.from_file(public_tokenizers.path(LIBRARY)))
+        return library[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def op7_packing(spark, sf_dir):
