@@ -25,15 +25,15 @@ def byte_bpe_encoder():
     from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(LIBRARY), encoding="utf-8") as f:
-        added = [re.escape(t["content"]) for t in json.load(f)["added_tokens"]]
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(public_tokenizers.path(RANKS), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    special = re.compile("|".join([*added, rf"\s{{{BLANK}}}"]))
+    blank = re.compile(rf"\s{{{BLANK}}}")
     library: list[Tokenizer] = []
 
     def encode(text: str) -> list[int]:
-        if not special.search(text):
+        if not any(a in text for a in added) and (len(text) < BLANK or not blank.search(text)):
             return fast(text)
         if not library:
             library.append(Tokenizer.from_file(public_tokenizers.path(LIBRARY)))
