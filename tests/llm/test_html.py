@@ -88,3 +88,90 @@ def test_host_votes_do_not_split_a_text(spark):
     df = spark.createDataFrame([(i * 10 + k, f"http://h{i}.example/{k}", f"<body>{p}</body>") for i, (p, _) in enumerate(pages) for k in range(4)], "page_id long, url string, html string")
     got = main_text(df, "url", "html", ["page_id"]).collect()
     assert len(got) == 20 and all(r.consensus and r.text.split("\n\n") == [" ".join(x.split()) for x in pages[r.page_id // 10][1]] for r in got)
+
+
+P = "Some prose, of the article, that is long enough to count, and goes on. " * 6
+T = " ".join(P.split())
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<body class="has-sidebar no-comments page-menu"><article><p>{P}</p></article></body>', [T]),
+        (f'<body class="sidebar menu"><p>{P}</p></body>', [T]),
+        (f'<body><div id="search"><article><p>{P}</p></article></div></body>', [T]),
+        (f'<body><form id="page"><div class="x"><p>{P}</p></div></form></body>', [T]),
+        (f'<body><div class="header-wrap"><main><p>{P}</p></main></div></body>', [T]),
+        (f'<body><div class="content-with-sidebar"><div class="text"><p>{P}</p></div></div><div class="sidebar"><p>Short, side, text.</p></div></body>', [T]),
+        (f'<body><article><p>{P}<span class="ad">advert</span></p><p>End<b class="sponsor">x<b>y</b>z</b>.</p></article></body>', [T, "End."]),
+        (f'<body><div class="story"><p>{P}</p></div><div class="story"><p>{P} two</p></div></body>', [T, T + " two"]),
+        (f'<body><article><p>Short, text.</p></article><section id="comments"><article class="comment"><p>{P * 5}</p></article></section></body>', ["Short, text."]),
+        (f'<body><article><h1 class="page-header">Title</h1><p class="intro">{P}</p><div class="related-posts"><p>{P}</p></div></article></body>', ["Title", T]),
+        (f'<body><article><p title="a > b">{P}</p><p>1 < 2 & 3 > 2 <3</p></article></body>', [T, "1 < 2 & 3 > 2 <3"]),
+        (f'<body><article><p>{P}</p><svg/><object><p>In the object.</p></article></body>', [T, "In the object."]),
+        (f'<body><article><p>{P}</p><p title="open>left</p></article></body>', [T, "left"]),
+    ],
+)
+def test_what_is_furniture(page, want):
+    assert own(page)[0].split("\n\n") == want
+
+
+MB = 1_000_000
+ADVERSE = {
+    "tags never closed": "<p>" + "<a " * (MB // 3),
+    "quotes never closed": "<a '" * (MB // 4),
+    "quoted values never closed": "<a x='" * (MB // 6) + '<a y="' * 1000,
+    "tags with one far end": "<a '\" <b " * (MB // 9) + ">",
+    "deep": "<div>" * (MB // 5),
+    "deep with text": "<div>a, b" * (MB // 9),
+    "deep with long names": "".join(f"<div class='{'x' * 90}{i}'>a" for i in range(MB // 110)),
+    "stray ends": "<div>" * (MB // 11) + "</p></b>" * (MB // 14),
+    "raw never closed": "<object><svg><select>" * (MB // 21),
+    "comments": "<!-- x" * (MB // 6),
+    "declarations": "<!x" * (MB // 3),
+    "brackets": "<" * MB,
+    "entities": "&amp;&#x;&" * (MB // 10),
+    "wide": "<div><p>a, b</p></div>" * (MB // 22),
+    "deep articles": "<article><div class='t'>a, b" * (MB // 28),
+    "inline skips": "<span class='ad'>" * (MB // 17),
+}
+
+
+@pytest.mark.parametrize("case", ADVERSE)
+def test_broken_pages_take_linear_time_and_memory(case):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    own(ADVERSE[case])
+    took = time.process_time() - began
+    tracemalloc.start()
+    own(ADVERSE[case][: MB // 4])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * MB and took < 4, (took, peak)
+
+
+def test_votes_equal_a_plain_tally(spark):
+    """The host's path by a loop over all pages, on pages whose templates and sizes differ, and ties."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(80):
+        boxes = [f"<div class='{c}'><p>{'Word, ' * rng.randint(0, 30)}</p></div>" for c in rng.sample(["a", "b1", "b2", "c"], rng.randint(1, 3))]
+        rows.append((i, f"http://h{i % 7}.example/{i}", f"<body>{''.join(boxes)}</body>"))
+    rows += [(100 + i, "http://tie.example", f"<body><div class='{c}'><p>Same, text.</p></div></body>") for i, c in enumerate("zyx")]
+    tally = {}
+    for _, url, page in rows:
+        top = candidates(parse(page))
+        for c in top:
+            votes = tally.setdefault(url.split("/")[2], {})
+            votes[c.path] = votes.get(c.path, 0) + c.score / sum(x.score for x in top)
+    best = {h: min(v, key=lambda p: (-round(v[p], 6), p)) for h, v in tally.items()}
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), "url", "html", ["page_id"]).collect()
+    want = {}
+    for i, url, page in rows:
+        root = parse(page)
+        want[i] = extract(root, candidates(root), best[url.split("/")[2]])
+    assert {r.page_id: (r.text, r.path) for r in got} == want

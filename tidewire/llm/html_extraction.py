@@ -15,59 +15,108 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import cut, small
 
 # Element names of HTML by their part in a page.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|video|audio"
+RAW = frozenset("script style textarea title iframe noscript template svg math object select canvas video audio".split())
+TO_THE_END = frozenset("script style textarea title iframe".split())  # without an end tag they take the rest of the page
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption address summary".split())
 CONTAINERS = frozenset("html body main article section div ul ol dl table tbody thead tfoot tr figure details center".split())
 ASIDE = frozenset("nav footer aside form header dialog menu button fieldset head".split())
 CLOSES_ITSELF = frozenset("p li dt dd td th tr".split())
 BREAKS = frozenset("br hr wbr".split())
+EMPTY = frozenset("br hr wbr img input link meta source embed area col base param track".split())
 PAGE = frozenset(["", "html", "body"])  # what stands side by side in them are regions of the page, not parts of one text
+NEVER = frozenset("html body main article".split())  # hold the text, whatever their classes say
+WRAPS = frozenset("form header fieldset".split())  # some sites put the whole page into one
 # Words that mark page furniture in a class, id or role.
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|copyright|disqus|disclaimer|footer|"
-    r"gdpr|header|masthead|menu\w*|meta|modal|nav\w*|newsletter|notices?|alert|pagination|pager|paywall|popup|promo\w*|recommend\w*|"
-    r"related|replies|reply|respond|share|sharing|sidebar\w*|signup|social|sponsor\w*|subscribe|subscription|tags|teasers?|toolbar|"
-    r"widget\w*|navigation|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+SURE = re.compile(
+    r"ads?|adv|advert\w*|comments?|commentlist|consent|cookies?|disqus|gdpr|newsletter|paywall|promo\w*|recommend\w*|related|"
+    r"replies|reply|respond|sponsor\w*|teasers?"
 )
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
-    re.S | re.I,
+LIKELY = re.compile(
+    r"banner|breadcrumbs?|byline|copyright|disclaimer|footer|header|masthead|menu\w*|meta|modal|nav|navbar|navigation|notices?|alert|"
+    r"pagination|pager|popup|share|sharing|sidebar\w*|signup|social|subscribe|subscription|tags|toolbar|widget\w*|complementary|"
+    r"contentinfo|search"
 )
+HEAD = frozenset(["header", "masthead"])
+INLINE = re.compile(r"ads?|adv|advert\w*|sponsor\w*|promo\w*|share|sharing|social|newsletter|cookies?")
+ABOUT = re.compile(r"(?:has|no|not|with|without|is|hide|show)[-_]")  # such a class tells of furniture elsewhere
+OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>")
+CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LONG_PATH, LONG_NAME = 160, 80  # beyond these a path goes on from the hash of what came before
 
 
-@dataclass
+@dataclass(slots=True)
 class Box:
     """A container: its parent, its path, whether it is page furniture, and what stands in it in page order."""
 
     parent: Box | None
     tag: str
     path: str
-    furniture: bool
+    mark: int = 0  # 1: likely furniture, 2: surely
+    head: bool = False  # of furniture, whether its headings belong to what it stands in
+    article: Box | None = None  # the outermost article that it is or stands in
     items: list = field(default_factory=list)  # (kind, text, letters of links) or Box
     score: float = 0.0
+    prose: int = 0  # letters outside links, of all that stands in it
 
+    @property
+    def furniture(self) -> bool:
+        return self.mark > 0
 
-def _name(tag: str, attrs: str) -> tuple[str, bool]:
+
+def _name(tag: str, attrs: str) -> tuple[str, int, bool]:
+    """Name with generalised classes, furniture mark, and whether it is a header.
+
+    A block of text is marked by whole names only; a container also by the first or last part of a name. Names that begin
+    with has-, no- and the like are no marks.
+    """
+    mark, head = (0, False) if tag not in ASIDE else (1 if tag in WRAPS else 2, tag == "header")
     if not attrs:
-        return tag, tag in ASIDE
-    found = {m[1].lower(): next(x for x in (m[2], m[3], m[4], "") if x is not None) for m in NAMED.finditer(attrs)}
-    classes = ".".join(sorted({re.sub(r"\d+", "N", c) for c in found.get("class", "").lower().split()}))
-    marks = " ".join(found.values())
-    return f"{tag}.{classes}" if classes else tag, tag in ASIDE or bool(marks and FURNITURE.search(marks))
+        return tag, mark, head
+    found: dict[str, str] = {}
+    for m in NAMED.finditer(attrs):
+        found.setdefault(m[1].lower(), next(x for x in (m[2], m[3], m[4], "") if x is not None).lower())
+    classes = ".".join(sorted({re.sub(r"\d+", "N", c) for c in found.get("class", "").split()}))
+    if len(classes) > LONG_NAME:
+        classes = f"#{xxhash.xxh64_hexdigest(classes.encode('utf-8', 'surrogatepass'))}"
+    name = f"{tag}.{classes}" if classes else tag
+    if tag in NEVER:
+        return name, 0, False
+    for token in " ".join(found.values()).split():
+        if ABOUT.match(token):
+            continue
+        parts = re.split(r"[-_]+", token)
+        for part in {token} if tag in BLOCKS else {token, parts[0], parts[-1]}:
+            if part in HEAD:
+                if tag not in BLOCKS:
+                    mark, head = max(mark, 1), True
+            elif SURE.fullmatch(part):
+                mark = 2
+            elif LIKELY.fullmatch(part):
+                mark = max(mark, 1)
+    return name, mark, head
 
 
 def parse(page: str) -> Box:
-    """The tree of a page's containers. Inline markup leaves no trace; open elements end where their parent does."""
-    root = box = Box(None, "", "", False)
-    block, parts, links, in_link, skip = "", [], 0, False, None
+    """The tree of a page's containers, in one pass whose cost is in proportion to the page.
+
+    Inline markup leaves no trace, inline adverts and the like are left out; open elements end where their parent does.
+    A tag whose quotes never close ends at the next >, as do all tags after it; a tag without any > takes the rest.
+    """
+    root = box = Box(None, "", "")
+    open_: dict[str, int] = {}  # how many open boxes have a tag, so that a stray end tag costs no search
+    unclosed: set[str] = set()
+    block, parts, links, in_link, skip, deep, loose = "", [], 0, False, "", 0, False
+    at = start = 0
 
     def flush():
         nonlocal parts, links
@@ -77,52 +126,127 @@ def parse(page: str) -> Box:
                 box.items.append((block, text, links))
             parts, links = [], 0
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            raw = page[at : m.start()]
-            parts.append(raw)
+    def leave(to: Box | None):
+        nonlocal box
+        while box is not to:
+            open_[box.tag] -= 1
+            box = box.parent
+
+    while m := OPEN.search(page, at):
+        at = m.start()
+        if at > start and not skip:
+            parts.append(page[start:at])
             if in_link:
-                links += len(raw)
-        at = m.end()
-        tag = m[3]
-        if not tag:
+                links += at - start
+        start = len(page)
+        if m[0] == "<!--":
+            end = page.find("-->", at + 2)
+            at = start = end + 3 if end >= 0 else start
+            continue
+        if m[0] in ("<!", "<?"):
+            end = page.find(">", at)
+            at = start = end + 1 if end >= 0 else start
+            continue
+        t = None if loose else TAG.match(page, at)
+        if t is None:
+            loose = True
+            t = LOOSE.match(page, at)
+        if t is None:
+            break
+        at = start = t.end()
+        ends, tag, attrs = bool(t[1]), t[2].lower(), t[3]
+        if tag in RAW:
+            if not ends and tag not in unclosed and not (tag in ("svg", "math") and attrs.endswith("/")):
+                if close := CLOSE[tag].search(page, at):
+                    at = start = close.end()
+                elif tag in TO_THE_END:
+                    at = start = len(page)
+                else:
+                    unclosed.add(tag)
             continue
-        tag, ends = tag.lower(), bool(m[2])
-        if tag == "a":
-            in_link = not ends
-        elif tag in BREAKS:
-            parts.append(" ")
-        elif tag in BLOCKS or tag in CONTAINERS or tag in ASIDE:
-            flush()
-            if ends:
-                if tag in BLOCKS and block == tag:
-                    block = ""
+        if tag not in BLOCKS and tag not in CONTAINERS and tag not in ASIDE:
+            if tag == skip:
+                deep += -1 if ends else 1
+                if not deep:
+                    skip = ""
+            elif not skip and not ends and attrs and tag not in EMPTY and any(
+                INLINE.fullmatch(w) for m in NAMED.finditer(attrs) for w in (m[2] or m[3] or m[4] or "").lower().split()
+            ):
+                skip, deep = tag, 1
+            elif tag == "a":
+                in_link = not ends
+            elif tag in BREAKS:
+                parts.append(" ")
+            continue
+        flush()
+        skip = ""
+        if ends:
+            if tag in BLOCKS and block == tag:
+                block = ""
+            if open_.get(tag):  # an end without a start is ignored
                 seen = box
-                while seen.parent and seen.tag != tag:
+                while seen.tag != tag:
                     seen = seen.parent
-                if seen.parent:  # an end without a start is ignored
-                    box, block = seen.parent, ""
-            else:
-                in_link = False
+                leave(seen.parent)
                 block = ""
-                name, furniture = _name(tag, m[4])
-                if tag in CLOSES_ITSELF and box.tag == tag:
-                    box = box.parent
-                elif box.tag == "p":
-                    box = box.parent
-                if tag in BLOCKS and not furniture and tag not in ("td", "th", "li", "dd", "blockquote"):
-                    block = tag
-                else:
-                    child = Box(box, tag, f"{box.path}/{name}", furniture)
-                    box.items.append(child)
-                    box, block = child, tag if tag in BLOCKS else ""
-    if at < len(page):
-        parts.append(page[at:])
+            continue
+        in_link, block = False, ""
+        name, mark, head = _name(tag, attrs)
+        if (tag in CLOSES_ITSELF and box.tag == tag) or box.tag == "p":
+            leave(box.parent)
+        if tag in BLOCKS and not mark and tag not in ("td", "th", "li", "dd", "blockquote"):
+            block = tag
+        else:
+            above = box.path
+            if len(above) > LONG_PATH:
+                above = f"/#{xxhash.xxh64_hexdigest(above.encode('utf-8', 'surrogatepass'))}"
+            child = Box(box, tag, f"{above}/{name}", mark, head)
+            child.article = box.article or (child if tag == "article" else None)
+            box.items.append(child)
+            open_[tag] = open_.get(tag, 0) + 1
+            box, block = child, tag if tag in BLOCKS else ""
+    if start < len(page) and not skip:
+        parts.append(page[start:])
+        if in_link:
+            links += len(page) - start
     flush()
+    _settle(root)
     return root
 
 
+def _settle(root: Box) -> None:
+    """Count the prose of every box, and take back marks that can't be right: of a box that holds the `main`, and, if no
+    `main` or `article` with prose stands outside marked boxes, of one that holds an article or most of the page's prose
+    (of a comment section and the like, nearly all)."""
+    order, stack = [], [(root, False)]
+    clear = False
+    under: list[bool] = []
+    while stack:
+        b, marked = stack.pop()
+        marked = marked or b.furniture
+        order.append(b)
+        under.append(marked)
+        stack += [(x, marked) for x in b.items if isinstance(x, Box)]
+    mains: set[int] = set()
+    articles: set[int] = set()
+    for b, marked in zip(reversed(order), reversed(under)):
+        b.prose += sum(max(0, len(x[1]) - 2 * x[2]) for x in b.items if not isinstance(x, Box))
+        if b.tag in ("main", "article") and b.prose:
+            (mains if b.tag == "main" else articles).add(id(b))
+            clear = clear or not marked
+        if b.parent:
+            b.parent.prose += b.prose
+            for found in (mains, articles):
+                if id(b) in found:
+                    found.add(id(b.parent))
+    for b in order:
+        if b.mark:
+            share = b.prose / root.prose if root.prose else 0
+            alone = not clear and (share > 0.95 or (b.mark == 1 and (share > 0.7 or id(b) in articles)))
+            if id(b) in mains or alone:
+                b.mark = 0
+
+
 def _walk(box: Box) -> Iterator[Box]:
     stack = [box]
     while stack:
@@ -162,8 +286,8 @@ def _items(box: Box) -> list[tuple[str, str]]:
             stack.pop()
             headings.pop()
         elif isinstance(x, Box):
-            only = headings[-1] or x.tag == "header"
-            if x is box or not x.furniture or x.tag == "header":
+            only = headings[-1] or (x.furniture and x.head)
+            if x is box or not x.furniture or x.head:
                 stack.append(iter(x.items))
                 headings.append(only and x is not box)
         elif not headings[-1] or x[0] in ("h1", "h2"):
@@ -171,28 +295,28 @@ def _items(box: Box) -> list[tuple[str, str]]:
     return out
 
 
-def _chain(box: Box) -> list[Box]:
-    """The box and those above it, the root last."""
-    found = [box]
-    while found[-1].parent:
-        found.append(found[-1].parent)
-    return found
-
-
 def _is_prose(box: Box) -> bool:
     """Whether a container holds more prose than links, furniture left out."""
     return sum(len(x[1]) - 2 * x[2] for b in _walk(box) for x in b.items if not isinstance(x, Box)) > 0
 
 
-def _together(parts: list[Box]) -> list[str]:
+def _together(root: Box, parts: list[Box]) -> list[str]:
     """The blocks of the parts in page order, with what stands beside them in the least container above them all."""
-    chains = [_chain(b)[1:] or [b] for b in parts]
-    common = {id(b) for b in chains[0]}.intersection(*({id(b) for b in c} for c in chains[1:]))
-    above = next(b for b in chains[0] if id(b) in common)
-    if above is parts[0]:
-        return blocks(above)
+    if parts[0] is root:
+        return blocks(root)
     whole = {id(b): _items(b) for b in parts}
-    holds = {id(b) for c in chains for b in c}
+    holds: set[int] = set()
+    for b in parts:
+        x = b.parent
+        while x and id(x) not in holds:
+            holds.add(id(x))
+            x = x.parent
+    above = root
+    while True:
+        down = [x for x in above.items if isinstance(x, Box) and (id(x) in holds or id(x) in whole)]
+        if len(down) > 1 or id(down[0]) in whole:
+            break
+        above = down[0]
     beside = above.tag not in PAGE and not any(b.tag == "article" for b in parts)
     untitled = not any(k in ("h1", "h2") for got in whole.values() for k, _ in got)
     out: list[str] = []
@@ -208,7 +332,7 @@ def _together(parts: list[Box]) -> list[str]:
             out += [t for _, t in whole[id(x)]]
         elif id(x) in holds:
             stack.append(iter(x.items))
-        elif x.tag == "header":
+        elif x.furniture and x.head:
             if above.tag not in PAGE and (beside or untitled):
                 out += [t for k, t in _items(x) if k in ("h1", "h2")]
         elif beside and not x.furniture and _is_prose(x):
@@ -229,9 +353,9 @@ def extract(root: Box, ranked: list[Box], path: str | None) -> tuple[str, str]:
     parts: dict[int, Box] = {}
     for b in ranked:
         if b.path == best.path:
-            whole = next((x for x in reversed(_chain(b)) if x.tag == "article"), b)
+            whole = b.article or b
             parts[id(whole)] = whole
-    return "\n\n".join(_together(list(parts.values()))), best.path
+    return "\n\n".join(_together(root, list(parts.values()))), best.path
 
 
 def host_of(url) -> F.Column:
