@@ -1,22 +1,27 @@
 """Approximate nearest neighbours over sharded robust-pruned graphs.
 
 Equal vectors become one point that keeps its smallest ids, so copies cost nothing and none is lost from a result. Points
-are dealt to shards of a bounded size by their hash; each shard builds its graph in one task. Queries, deduplicated the
-same way and cut into blocks, search every shard; scores are inner products of the original vectors in double precision.
+are dealt to shards of a bounded size, by the magnitude of their norms (half octaves, so that one long vector does not
+blur all others) and then by their hash; each shard builds its graph in one task. Queries, deduplicated the same way,
+search every shard: a task reads its shard's points once and then streams the queries past them. Scores are inner
+products of the original vectors in double precision.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import replace
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tidewire.llm.common import cut, partitions
-from tidewire.llm.vector_graph import GraphSettings, build, lift, search
+from tidewire.llm.common import cut, partitions, small
+from tidewire.llm.vector_graph import GraphSettings, build, lift
+from tidewire.llm.vector_graph import nearest as nearest_in
+
+QUERY_BATCH = 512
 
 
 def usable(rows: DataFrame, key: str, vector: str, **more: Column) -> DataFrame:
@@ -38,13 +43,26 @@ def points(ok: DataFrame, k: int) -> DataFrame:
     return some.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
+def _band(v: Column) -> Column:
+    """The half octave of a vector's norm; there are some 4,300 at most, as doubles have 2,100 octaves."""
+    top = F.array_max(F.transform(v, F.abs))
+    rest = F.aggregate(F.transform(v, lambda x: (x / top) * (x / top)), F.lit(0.0), lambda a, x: a + x)
+    return F.floor(2 * F.log2(top) + F.log2(rest)).cast("int")
+
+
 def index(ok: DataFrame, k: int, shard_rows: int = 8192, settings: GraphSettings = GraphSettings()) -> DataFrame:
-    """One row for each distinct vector: shard, place, v, ids, edges (places), start. A shard expects `shard_rows` rows."""
-    distinct = cut(points(ok, k))
-    shards = max(1, math.ceil(distinct.count() / shard_rows))
+    """One row for each distinct vector: shard (from 0 without gaps), place, v, ids, edges (places), start. A shard expects
+    `shard_rows` rows at most."""
+    distinct = cut(points(ok, k).withColumn("band", _band(F.col("v"))))
+    bands = distinct.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("parts"))
+    first = F.coalesce(F.sum("parts").over(W.partitionBy().orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    bands = F.broadcast(bands.withColumn("first", first))  # one row a half octave
+    dealt = distinct.join(bands, "band").select(
+        (F.col("first") + F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int").alias("shard"), "v", "ids", F.col("ids")[0].alias("least")
+    )
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("first", ignore_index=True)
+        part = part.sort_values("least", ignore_index=True)
         x = lift(np.stack(part["v"]))
         edges, start = build(x, settings)
         out = part[["shard", "v", "ids"]].copy()
@@ -52,50 +70,61 @@ def index(ok: DataFrame, k: int, shard_rows: int = 8192, settings: GraphSettings
         out["edges"] = [e[e < len(x)].tolist() for e in edges[:-1]]
         return out[["shard", "place", "v", "ids", "edges", "start"]]
 
-    dealt = distinct.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "ids", F.col("ids")[0].alias("first"))
     schema = "shard int, place int, v array<double>, ids array<long>, edges array<int>, start int"
     return cut(dealt.groupBy("shard").applyInPandas(run, schema))
 
 
-def nearest(rows: DataFrame, is_query: Column, key: str, vector: str, k: int = 20, beam: int = 96, block_rows: int = 4096, shard_rows: int = 8192, settings: GraphSettings = GraphSettings()) -> DataFrame:
+def _graph(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, list]:
+    """Vectors, lifted points, edges, start and ids of a shard's rows."""
+    own = own.sort_values("place", ignore_index=True)
+    x = np.stack(own["v"])
+    edges = np.full((len(x) + 1, max(1, own["edges"].map(len).max())), len(x))
+    for i, e in enumerate(own["edges"]):
+        edges[i, : len(e)] = e
+    return x, lift(x), edges, int(own["start"].iloc[0]), own["ids"].tolist()
+
+
+def nearest(rows: DataFrame, is_query: Column, key: str, vector: str, k: int = 20, shard_rows: int = 8192, settings: GraphSettings = GraphSettings()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query row, its own id left out; ties go
-    to the smaller id. Without usable rows the result is empty."""
+    to the smaller id. Without usable rows the result is empty. Products beyond the range of doubles are infinite."""
     ok = usable(rows, key, vector, asks=is_query)
     graph = index(ok, k, shard_rows, settings)
-    asked = cut(ok.where("asks").select(F.col("id").alias("query_id"), "v").distinct())
-    wanted = cut(asked.select("v").distinct())
-    shards = [r["shard"] for r in graph.groupBy("shard").agg(F.count(F.lit(1))).select("shard").collect()]
-    blocks = max(1, math.ceil(wanted.count() / block_rows))
-    block = F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")
-    every = F.array(*[F.lit(i) for i in range(blocks)])
-    left = graph.withColumn("block", F.explode(every))
-    right = wanted.select("v", block.alias("block"), F.explode(F.array(*[F.lit(s) for s in shards]).cast("array<int>")).alias("shard"))
-    s = replace(settings, beam=max(beam, k + 1))
-
-    def run(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        got = []
-        if len(own) and len(queries):
-            own = own.sort_values("place", ignore_index=True)
-            x = np.stack(own["v"])
-            edges = np.full((len(x) + 1, max(1, own["edges"].map(len).max())), len(x))
-            for i, e in enumerate(own["edges"]):
-                edges[i, : len(e)] = e
-            p = lift(x)
-            ids = own["ids"].tolist()
-            for i in range(0, len(queries), 512):
-                q = np.stack(queries["v"].iloc[i : i + 512])
-                beam_ids, _ = search(p, edges, int(own["start"].iloc[0]), np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), s)
-                for row, near in zip(q, beam_ids):
-                    near = near[near >= 0]
-                    score = np.einsum("ij,j->i", x[near], row)
-                    order = np.argsort(-score, kind="stable")
-                    found = [(-float(score[j]), int(t)) for j in order for t in ids[near[j]]]
-                    top = sorted(found)[: k + 1]
-                    got.append((row, [(a, b) for a, b in top]))
-        return pd.DataFrame({"v": [r for r, _ in got], "near": [[{"far": a, "id": b} for a, b in t] for _, t in got]})
-
-    some = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "v array<double>, near array<struct<far: double, id: bigint>>")
-    merged = some.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    own = F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k)
-    hits = asked.join(merged, "v").select("query_id", F.posexplode(own).alias("pos", "n"))
-    return hits.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.id").alias("vec_id"), (-F.col("n.far")).alias("score"))
+    shards = graph.agg(F.coalesce(F.max("shard"), F.lit(-1))).head()[0] + 1
+    asked = ok.where("asks").select(F.col("id").alias("query_id"), F.xxhash64("v").alias("ask"), "v")
+    wanted = cut(asked.groupBy("ask").agg(F.first("v").alias("v")))
+    where = F.sequence(F.lit(0), F.lit(shards - 1)) if shards else F.array().cast("array<int>")
+    # The points of a shard come before its queries. No number is null, as pandas would make such a column one of doubles.
+    own = graph.withColumns({"is_query": F.lit(False), "ask": F.lit(0).cast("long")})
+    blank = {"place": F.lit(0), "start": F.lit(0), "ids": F.array().cast("array<long>"), "edges": F.array().cast("array<int>")}
+    ask = wanted.withColumns({**blank, "is_query": F.lit(True)}).withColumn("shard", F.explode(where))
+    both = own.unionByName(ask).repartition(partitions(rows.sparkSession), "shard").sortWithinPartitions("shard", "is_query")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, graph = [], None
+        for b in frames:
+            is_point = ~b["is_query"].astype(bool)
+            if is_point.any():
+                if graph:
+                    raise ValueError("points after queries")
+                held.append(b[is_point])
+            b = b[~is_point]
+            if len(b) and graph is None:
+                graph = _graph(pd.concat(held))
+                held.clear()
+            for i in range(0, len(b), QUERY_BATCH):
+                part = b.iloc[i : i + QUERY_BATCH]
+                x, p, edges, start, ids = graph
+                places, scores = nearest_in(x, p, edges, start, np.stack(part["v"]), k + 1, settings)
+                out = []
+                for a, near, score in zip(part["ask"], places.tolist(), scores.tolist()):
+                    found = sorted((-s, int(t)) for j, s in zip(near, score) if j >= 0 for t in ids[j])
+                    out += [(a, f, t) for f, t in found[: k + 1]]
+                yield pd.DataFrame(out, columns=["ask", "far", "vec_id"])
+
+    some = both.groupBy("shard").applyInPandas(run, "ask long, far double, vec_id long")
+    order = F.row_number().over(W.partitionBy("ask").orderBy("far", "vec_id"))
+    near = some.withColumn("n", order).where(F.col("n") <= k + 1).groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("far", "vec_id"))).alias("near"))
+    hits = asked.select("query_id", "ask").distinct().join(small(cut(near), 50_000), "ask")
+    own_out = F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("query_id")), 1, k)
+    hits = hits.select("query_id", F.posexplode(own_out).alias("pos", "n"))
+    return hits.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), (-F.col("n.far")).alias("score"))

@@ -1,31 +1,38 @@
 """A robust-pruned directed graph over vectors, in numpy: building, and beam search for the largest inner product.
 
 Inner products become Euclidean distances by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, which is 0
-for queries. Points are inserted in batches that double: greedy beam searches over the graph so far propose neighbours,
+for queries. Vectors are first divided by M in double precision, so magnitudes of any size keep their resolution. Points are inserted in batches that double: greedy beam searches over the graph so far propose neighbours,
 relaxed distance pruning keeps those that no kept neighbour is closer to by the factor alpha, reverse edges are added, and
 overfull nodes are pruned again. All searches of a batch advance in lock step.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
 
 @dataclass(frozen=True)
 class GraphSettings:
-    degree: int = 32
-    beam: int = 64
+    degree: int = 48
+    beam: int = 96
     alpha: float = 1.2
     expand: int = 4
     batch: int = 1024
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, safe for components of any finite size; there are no zero rows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def lift(x: np.ndarray) -> np.ndarray:
-    """float32 rows with the coordinate that makes nearest mean largest inner product."""
-    n = np.einsum("ij,ij->i", x, x, dtype=np.float64)
-    return np.concatenate([x, np.sqrt(np.maximum(n.max() - n, 0))[:, None]], 1).astype(np.float32)
+    """float32 rows, all of length 1, with the coordinate that makes nearest mean largest inner product."""
+    x = x / np.abs(x).max()
+    n = np.einsum("ij,ij->i", x, x)
+    return np.concatenate([x / np.sqrt(n.max()), np.sqrt(np.maximum(1 - n / n.max(), 0))[:, None]], 1).astype(np.float32)
 
 
 def search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, s: GraphSettings) -> tuple[np.ndarray, np.ndarray]:
@@ -133,3 +140,32 @@ def build(points: np.ndarray, s: GraphSettings = GraphSettings()) -> tuple[np.nd
         at += len(new)
         step *= 2
     return edges, start
+
+
+def nearest(x: np.ndarray, points: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, k: int, s: GraphSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query, the k rows of x found with the largest inner products, largest first: places (-1: none) and products
+    in double precision. `points` are the rows lifted.
+
+    A beam search with twice the beam follows as long as it changes the k rows found, up to all rows, so the beam fits
+    the data. Equal products go to the smaller place.
+    """
+    q = np.concatenate([unit(queries), np.zeros((len(queries), 1))], 1).astype(np.float32)
+    best = np.full((len(q), k), -1)
+    score = np.full((len(q), k), -np.inf)
+    live, beam = np.arange(len(q)), max(s.beam, k)
+    while len(live):
+        found, _ = search(points, edges, start, q[live], replace(s, beam=beam, expand=max(s.expand, beam // 16)))
+        new, far = np.full((len(live), k), -1), np.full((len(live), k), -np.inf)
+        for i, near in enumerate(found):
+            near = np.sort(near[near >= 0])
+            with np.errstate(over="ignore", invalid="ignore"):
+                product = np.einsum("ij,j->i", x[near], queries[live[i]])
+            product = np.where(np.isnan(product), -np.inf, product)
+            top = np.argsort(-product, kind="stable")[:k]
+            new[i, : len(top)], far[i, : len(top)] = near[top], product[top]
+        changed = (new != best[live]).any(1)
+        best[live], score[live] = new, far
+        if beam >= len(x):
+            break
+        live, beam = live[changed], 2 * beam
+    return best, score
