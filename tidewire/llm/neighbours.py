@@ -43,17 +43,17 @@ def points(ok: DataFrame, k: int) -> DataFrame:
     return some.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
-def _band(v: Column) -> Column:
-    """The half octave of a vector's norm; there are some 4,300 at most, as doubles have 2,100 octaves."""
-    top = F.array_max(F.transform(v, F.abs))
-    rest = F.aggregate(F.transform(v, lambda x: (x / top) * (x / top)), F.lit(0.0), lambda a, x: a + x)
-    return F.floor(2 * F.log2(top) + F.log2(rest)).cast("int")
+def _with_band(rows: DataFrame) -> DataFrame:
+    """rows and band, the half octave of a vector's norm; there are some 4,300 at most, as doubles have 2,100 octaves."""
+    top = rows.withColumn("top", F.array_max(F.transform("v", F.abs)))
+    rest = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top")))
+    return top.withColumn("band", F.floor(2 * F.log2("top") + F.log2(rest)).cast("int")).drop("top")
 
 
 def index(ok: DataFrame, k: int, shard_rows: int = 8192, settings: GraphSettings = GraphSettings()) -> DataFrame:
     """One row for each distinct vector: shard (from 0 without gaps), place, v, ids, edges (places), start. A shard expects
     `shard_rows` rows at most."""
-    distinct = cut(points(ok, k).withColumn("band", _band(F.col("v"))))
+    distinct = cut(_with_band(points(ok, k)))
     bands = distinct.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("parts"))
     first = F.coalesce(F.sum("parts").over(W.partitionBy().orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
     bands = F.broadcast(bands.withColumn("first", first))  # one row a half octave
