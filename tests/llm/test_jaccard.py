@@ -1,11 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import meet
 from tidewire.llm.components import components
-from tidewire.llm.jaccard import classes
+from tidewire.llm.jaccard import _owned, _owners, classes
 
 
 def sets(rows, n):
@@ -66,6 +68,37 @@ def test_small_cases(spark):
     compare(spark, rows)
 
 
+def test_different_texts_under_one_key(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (5, c), (5, ""), (4, c + " end"), (9, a), (9, c), (20, "x y"), (20, None), (30, "p q r s t"), (30, "one two"), (31, "one two")]
+    got = {r.doc_id: r.component for r in compare(spark, rows)}
+    assert got[3] == got[4] == 1 and got[20] == 20 and got[31] == 30
+
+
+def test_a_hot_token_is_dealt_out(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(base[: 30 + rng.randrange(10)] + [f"v{rng.randrange(40)}" for _ in range(rng.randrange(8))])) for i in range(400)]
+    compare(spark, rows)
+
+
+def test_meet_equals_a_join(spark):
+    left = spark.createDataFrame([(0 if i % 2 else i % 50, i) for i in range(2000)], "k int, i int")
+    right = spark.createDataFrame([(k, v) for k in range(60) for v in range(2)], "k int, v int")
+    want = sorted((i % 50 if i % 2 == 0 else 0, i, v) for i in range(2000) for v in range(2))
+    assert sorted((r.k, r.i, r.v) for r in meet(left, right, ["k"]).collect()) == want
+    assert meet(left.limit(0), right, ["k"]).count() == 0
+
+
+def test_shuffled_bytes_do_not_grow_with_the_partitions():
+    """A cell's owners cost no more than a byte a token, however many rows its block has."""
+    rng = np.random.default_rng(1)
+    for rows, tokens in ((5000, 300), (5000, 60000), (1, 10), (300, 0)):
+        owner = np.sort(rng.integers(0, rows, tokens))
+        raw = _owners(owner, rows)
+        assert (_owned(raw) == owner).all() and len(raw) <= 2 + max(1, 2 * (tokens < 200)) * tokens
+
+
 def test_empty_table(spark):
     assert classes(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 

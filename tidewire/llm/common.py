@@ -47,3 +47,22 @@ def dense_rank_offsets(df: DataFrame, group: str, spread: Column, order: list, t
         .withColumn(to, (F.col("__o") + F.col("__r") - 1).cast("long"))
         .drop("__b", "__r", "__g", "__c", "__o")
     )
+
+
+def meet(left: DataFrame, right: DataFrame, on: list[str], counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Join (inner or left) on the columns `on`, in which no key is left to one task.
+
+    A key with more than a quarter of the rows of an even partition is dealt out: its rows of `left` to as many parts as
+    that takes, its rows of `right` to each of them. By that rule there are at most four such keys a partition, so their
+    table is broadcast. Keys are counted in `counted` (`left`, if not given), which should be cheap to read again.
+    """
+    counted = left if counted is None else counted
+    most = max(64, counted.count() // (4 * partitions(left.sparkSession)))
+    times = counted.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most)
+    hot = cut(times.select(*on, F.ceil(F.col("__n") / most).cast("int").alias("__parts")))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    own = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("__parts")
+    other = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return own.join(other, [*on, "__salt"], how).drop("__salt")

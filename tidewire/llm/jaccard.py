@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import words
-from tidewire.llm.common import cut, partitions, small
+from tidewire.llm.common import cut, meet, partitions, small
 from tidewire.llm.components import components
+from tidewire.llm.words import pack, unpack
 
 NONE = -(1 << 63)  # stands for a null key
-BLOCK_TOKENS = 600_000  # of one block; bounds a task's memory
+BLOCK_TOKENS = 1_000_000  # of one block; bounds a task's memory
 
 
 def _sets(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -42,14 +43,36 @@ def _sets(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[int, np.nda
             yield i, np.frombuffer(body, np.uint64) if raw else words.shingles(words.numbers(words.split(body, True)), n)
 
 
+def set_number(s: np.ndarray) -> int:
+    """The number of a set of tokens, signed 64 bits."""
+    h = int(words.mix(s, 7).sum(dtype=np.uint64)) if len(s) else 0
+    h ^= len(s) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return h - (1 << 64) if h >> 63 else h
+
+
 def token_sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """id, tokens: each whole text's set as packed sorted 64-bit numbers, words lower-cased in A-Z."""
+    """id, set_hash, tokens: each whole text's set as packed sorted 64-bit numbers, words lower-cased in A-Z."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, sets in _blocks(_sets(batches, n)):
-            yield pd.DataFrame({"id": ids, "tokens": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"id": ids, "set_hash": [set_number(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
+    return rows.mapInPandas(run, "id long, set_hash long, tokens binary")
+
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInPandas(run, "id long, tokens binary")
+def _owners(rows: np.ndarray, of: int) -> bytes:
+    """Which of `of` rows each of a cell's tokens belongs to; rows don't fall. Either how many tokens each row has or the
+    steps from row to row, whichever is shorter, so a cell costs no more than its tokens do."""
+    if of <= len(rows):
+        counts = np.bincount(rows, minlength=of)
+        return b"c" + pack(counts)
+    return b"s" + pack(np.diff(rows, prepend=0))
+
+
+def _owned(raw: bytes) -> np.ndarray:
+    x = unpack(raw[1:])
+    return np.repeat(np.arange(len(x)), x) if raw[:1] == b"c" else np.cumsum(x)
 
 
 def _blocks(rows: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -90,9 +113,7 @@ def shared_tokens(rows: DataFrame, parts: int, bits: bool, n: int = 0) -> DataFr
             local = np.empty(len(flat), bool)
             local[order] = twice
             known = flat[order][twice & ~same]
-            sums = [int(words.mix(s, 7).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
-            hashes = np.array([(h ^ (len(s) * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF for h, s in zip(sums, sets)], np.uint64)
-            head = pd.DataFrame({"id": np.array(ids, np.int64), "h": hashes.astype(np.int64), "n": sizes})
+            head = pd.DataFrame({"id": np.array(ids, np.int64), "h": np.array([set_number(s) for s in sets], np.int64), "n": sizes})
             part = (flat // np.uint64(width)).astype(np.int32)
             kpart = (known // np.uint64(width)).astype(np.int32)
             cells = np.argsort(part, kind="stable")  # by partition, then row, then token
@@ -106,12 +127,10 @@ def shared_tokens(rows: DataFrame, parts: int, bits: bool, n: int = 0) -> DataFr
                 if not len(at) and r != home:
                     continue
                 low = lambda x: x.astype(np.uint32).tobytes()
-                counts = np.bincount(owner[at], minlength=len(sets)).astype(np.uint32)
-                small_counts = counts.astype(np.uint8 if len(counts) == 0 or counts.max() < 256 else np.uint32)
-                out.append((r, block, len(sets), low(flat[at][~local[at]]), low(k), small_counts.tobytes(), np.packbits(local[at]).tobytes(), head.to_records(index=False).tolist() if r == home else None))
-            yield pd.DataFrame(out, columns=["part", "block", "rows", "single", "several", "counts", "local", "head"])
+                out.append((r, block, low(flat[at][~local[at]]), low(k), _owners(owner[at], len(sets)), np.packbits(local[at]).tobytes(), head.to_records(index=False).tolist() if r == home else None))
+            yield pd.DataFrame(out, columns=["part", "block", "single", "several", "owners", "local", "head"])
 
-    entry = "part int, block long, rows int, single binary, several binary, counts binary, local binary, head array<struct<id: bigint, h: bigint, n: bigint>>"
+    entry = "part int, block long, single binary, several binary, owners binary, local binary, head array<struct<id: bigint, h: bigint, n: bigint>>"
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
         single = [np.frombuffer(x, np.uint32) for x in g["single"]]
@@ -125,26 +144,36 @@ def shared_tokens(rows: DataFrame, parts: int, bits: bool, n: int = 0) -> DataFr
         twice[:-1] |= same[1:]
         flag = np.empty(len(s), bool)
         flag[order] = twice
-        masks, at = [], 0
-        for x, raw, c in zip(single, g["local"], g["counts"]):
+        masks, owners, at = [], [], 0
+        for x, raw, owned in zip(single, g["local"], g["owners"]):
             got = flag[at : at + len(x)]
             at += len(x)
             total = len(raw) * 8
             local = np.unpackbits(np.frombuffer(raw, np.uint8), count=total).astype(bool)
             rows = np.flatnonzero(~local)[: len(x)]
             local[rows] = got
-            masks.append(np.packbits(local).tobytes())
-        return pd.DataFrame({"part": g["part"], "block": g["block"], "rows": g["rows"], "counts": g["counts"], "mask": masks, "head": g["head"]})
+            if bits:
+                masks.append(np.packbits(local).tobytes())
+                owners.append(owned)
+            else:  # only how many of each row's tokens are shared
+                owner = _owned(owned)
+                of, count = np.unique(owner[local[: len(owner)]], return_counts=True)
+                owners.append(pack(np.diff(of, prepend=0)))
+                masks.append(pack(count))
+        out = pd.DataFrame({"part": g["part"], "block": g["block"], "owners": owners, "mask": masks, "head": g["head"]})
+        return out if bits else out[out["head"].notna() | (out["mask"].map(len) > 1)]
 
     def merge(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("part", ignore_index=True)
         head = pd.DataFrame([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in next(h for h in g["head"] if h is not None)], columns=["id", "set_hash", "n"])
         rows = len(head)
         found, pieces = np.zeros(rows, np.int64), []
-        for raw, mask in zip(g["counts"], g["mask"]):
-            counts = np.frombuffer(raw, np.uint8 if len(raw) == rows else np.uint32).astype(np.int64)
-            m = np.unpackbits(np.frombuffer(mask, np.uint8), count=int(counts.sum()))
-            owner = np.repeat(np.arange(rows), counts)
+        for raw, mask in zip(g["owners"], g["mask"]):
+            if not bits:
+                found[np.cumsum(unpack(raw))] += unpack(mask)
+                continue
+            owner = _owned(raw)
+            m = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(owner))
             found += np.bincount(owner, weights=m, minlength=rows).astype(np.int64)
             if bits:
                 pieces.append((owner, m))
@@ -157,7 +186,7 @@ def shared_tokens(rows: DataFrame, parts: int, bits: bool, n: int = 0) -> DataFr
         return out
 
     sent = rows.mapInPandas(send, entry)
-    answers = sent.groupBy("part").applyInPandas(answer, "part int, block long, rows int, counts binary, mask binary, head array<struct<id: bigint, h: bigint, n: bigint>>")
+    answers = sent.groupBy("part").applyInPandas(answer, "part int, block long, owners binary, mask binary, head array<struct<id: bigint, h: bigint, n: bigint>>")
     return answers.groupBy("block").applyInPandas(merge, "id long, set_hash long, n long, shared long" + ", bits binary" * bits)
 
 
@@ -178,26 +207,30 @@ def classes(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80,
     parts = max(partitions(spark), math.ceil(size / (16 << 20)))
     every = cut(shared_tokens(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("id"), F.col(text).alias("body")), parts, False, n))
     able = every.where((F.col("id") != NONE) & (F.col("n") > 0) & (F.col("shared") >= _least_overlap(F.col("n"), percent)))
-    reps = cut(able.groupBy("set_hash", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    reps = cut(able.groupBy("set_hash").agg(F.min("id").alias("rep")))
     # The sets of the classes' first texts, and which of their tokens other classes have.
-    wanted = small(reps.select(F.col("rep").alias("__rep"), F.col("set_hash").alias("__h")), 1_000_000)
-    own = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__t")).join(wanted, F.col("__id") == F.col("__rep"))
-    sets = cut(token_sets(own, "__id", "__t", n).groupBy(F.col("id"), F.xxhash64("tokens").alias("t")).agg(F.first("tokens").alias("tokens")).select("id", "tokens"))
-    marked = shared_tokens(sets.withColumnRenamed("tokens", "body"), parts, True).where(F.col("shared") >= _least_overlap(F.col("n"), percent))
-    near = cut(
-        marked.join(sets.withColumnRenamed("id", "i"), (F.col("id") == F.col("i")) & (F.length("tokens") == F.col("n") * 8))
-        .join(reps.select("rep", F.col("set_hash").alias("h")), (F.col("id") == F.col("rep")) & (F.col("set_hash") == F.col("h")))
-        .select("id", "n", "shared", "tokens", "bits").dropDuplicates(["id"])
-    )
+    wanted = small(reps.select(F.col("rep").alias("id"), "set_hash"), 1_000_000)
+    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__t")).join(wanted.select("id").distinct(), "id", "left_semi")
+    sets = token_sets(own, "id", "__t", n).join(wanted, ["id", "set_hash"], "left_semi")
+    sets = cut(sets.groupBy("set_hash").agg(F.first("tokens").alias("tokens")))
+    marked = shared_tokens(sets.select(F.col("set_hash").alias("id"), F.col("tokens").alias("body")), parts, True)
+    marked = marked.where(F.col("shared") >= _least_overlap(F.col("n"), percent)).select("id", "n", "shared", "bits")
+    near = cut(marked.join(sets.withColumnRenamed("set_hash", "id"), "id").select("id", "n", "shared", "tokens", "bits"))
     links = _links(near, percent, orders)
-    joined = components(links)
-    root = reps.join(joined, F.col("rep") == F.col("node"), "left").select(
-        F.col("set_hash").alias("h"), F.col("n").alias("m"), F.col("rep"), F.coalesce("component", "rep").alias("c")
-    )
-    at = every.join(root, (F.col("set_hash") == F.col("h")) & (F.col("n") == F.col("m")), "left")
+    for side in ("a", "b"):
+        links = links.join(reps.select(F.col("set_hash").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+    # A key with several sets is one node: it is linked to the first key of each.
+    several = every.where(F.col("id") != NONE).groupBy("id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo < hi")
+    several = small(cut(several.select("id")), 1_000_000)
+    shared = every.join(several, "id", "left_semi").join(reps, "set_hash").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    joined = cut(components(links.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).unionByName(shared)))
+    root = reps.join(joined, F.col("rep") == F.col("node"), "left").select("set_hash", "rep", F.coalesce("component", "rep").alias("by_set"))
+    by_key = small(joined.join(several, F.col("node") == F.col("id"), "left_semi").select(F.col("node").alias("id"), F.col("component").alias("by_key")), 1_000_000)
+    at = meet(every, root, ["set_hash"], how="left")
+    at = at.join(by_key, "id", "left")
     own_id = F.nullif(F.col("id"), F.lit(NONE))
-    pick = lambda c: F.when((F.col("n") == 0) | own_id.isNull(), own_id).otherwise(F.coalesce(c, F.col("id")))
-    return at.select(own_id.alias(key), F.col("n").alias("n_tokens"), pick(F.col("rep")).alias("class_id"), pick(F.col("c")).alias("component"))
+    pick = lambda *c: F.when(own_id.isNotNull(), F.coalesce(*c, "id"))
+    return at.select(own_id.alias(key), F.col("n").alias("n_tokens"), pick("rep").alias("class_id"), pick("by_key", "by_set").alias("component"))
 
 
 def _prefixes(near: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -231,7 +264,8 @@ def _compared(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
             yield b[["a", "b"]].assign(both=shared, linked=linked)
 
     x, y = near.select(F.col("id").alias("a"), F.col("tokens").alias("x")), near.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long, both long, linked boolean")
+    both = meet(meet(pairs, x, ["a"]), y, ["b"], pairs)
+    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, both long, linked boolean")
 
 
 def _links(near: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -240,8 +274,8 @@ def _links(near: DataFrame, percent: int, orders: int) -> DataFrame:
     sets = cut(_prefixes(near, percent, orders))
     first = sets.select("id", "n", "shared", F.posexplode("prefixes").alias("k", "p")).select("k", "id", "n", "shared", F.col("p")[0].alias("token"))
     centre = first.groupBy("k", "token").agg(F.min_by("id", F.struct(-F.col("shared") / F.col("n"), "id")).alias("c"))
-    star = cut(first.join(centre, ["k", "token"]).select("k", "id", "c"))
-    pairs = star.where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    star = cut(meet(first, centre, ["k", "token"]).select("k", "id", "c"))
+    pairs = cut(star.where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
     stars = cut(_compared(pairs, near, percent))
     found = stars.where("linked").select("a", "b")
     comp = components(found)
@@ -252,8 +286,8 @@ def _links(near: DataFrame, percent: int, orders: int) -> DataFrame:
     known = cut(known.select("id", "n", "shared", F.coalesce("component", "id").alias("comp"), "centres", "prefixes"))
     light = known.select("id", "comp", F.posexplode(F.col("prefixes")[0]).alias("place", "token"))
     mixed = light.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    light = light.join(mixed, "token", "left_semi").select(F.col("id").alias("i"), "place", "token")
-    rows = cut(light.join(known, F.col("i") == F.col("id")).select("id", "n", "shared", "comp", "centres", "place", "token", F.slice(F.col("prefixes")[0], F.lit(1), F.col("place")).alias("before")))
+    light = meet(light, mixed, ["token"]).select("id", "place", "token")
+    rows = cut(light.join(known, "id").select("id", "n", "shared", "comp", "centres", "place", "token", F.slice(F.col("prefixes")[0], F.lit(1), F.col("place")).alias("before")))
     other = rows.select("token", *[F.col(c).alias(c + "2") for c in rows.columns if c != "token"])
     # Two sets that share `need` tokens share one of the first shared - need + 1 of each, in any common order. Of two sets
     # with one centre, what they share is no more than what the lesser shares with the centre and what the lesser has
@@ -265,11 +299,11 @@ def _links(near: DataFrame, percent: int, orders: int) -> DataFrame:
         i, j = F.coalesce(x["both"], "shared"), F.coalesce(y["both"], "shared2")  # the centre itself has no spoke
         apart = apart | ((x["c"] == y["c"]) & (F.least(i, j) + F.least(F.col("shared") - i, F.col("shared2") - j) < need))
     on = (
-        (rows["token"] == other["token"]) & (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))
+        (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))
         & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
         & (F.col("place") <= F.col("shared") - need) & (F.col("place2") <= F.col("shared2") - need) & ~apart & ~F.arrays_overlap("before", "before2")
     )
-    met = rows.join(other, on).select(F.col("id").alias("a"), F.col("id2").alias("b"), need.alias("need"))
+    met = meet(rows, other, ["token"]).where(on).select(F.col("id").alias("a"), F.col("id2").alias("b"), need.alias("need"))
     both = met.join(known.select(F.col("id").alias("a"), F.col("shared").alias("m"), F.col("prefixes").alias("p")), "a")
     both = both.join(known.select(F.col("id").alias("b"), F.col("shared").alias("m2"), F.col("prefixes").alias("p2")), "b")
     upto = lambda q, m, k: F.slice(F.col(q)[k], F.lit(1), F.greatest(F.col(m) - F.col("need") + 1, F.lit(0)).cast("int"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import words
 from tidewire.llm.common import partitions
+from tidewire.llm.words import pack, unpack
 
 BLOCK_WINDOWS = 500_000
 LAST = (1 << 63) - 1  # stands for a null key: later than every other
@@ -51,26 +52,15 @@ def _blocks(batches, k):
         yield out
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 in as few bytes each as the largest needs; the first byte says how many."""
-    top = int(x.max()) if len(x) else 0
-    size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
-
-
 def _rises(x: np.ndarray) -> bytes:
     """Rising whole numbers as the first one and the steps."""
-    return x[:1].astype("<i8").tobytes() + _pack(np.diff(x)) if len(x) else b""
+    return x[:1].astype("<i8").tobytes() + pack(np.diff(x)) if len(x) else b""
 
 
 def _risen(raw: bytes) -> np.ndarray:
     if not raw:
         return np.zeros(0, np.int64)
-    return np.cumsum(np.r_[np.frombuffer(raw, "<i8", 1), _unpack(raw[8:])])
+    return np.cumsum(np.r_[np.frombuffer(raw, "<i8", 1), unpack(raw[8:])])
 
 
 def paths(at, source, source_at, owner=None) -> tuple[np.ndarray, ...]:
@@ -126,15 +116,15 @@ def repeated_paths(docs: DataFrame, key: str, text: str, k: int, parts: int) ->
                     texts = owner[got][mark_ends].astype(np.int64)
                     n = np.diff(np.r_[mark_ends, len(got)])
                     mine = r == home
-                    out.append((r, block, edge[got].tobytes(), _rises(doc[texts]), _rises(texts), _pack(n), _pack(step), doc.tobytes() if mine else None, mark.tobytes() if mine else None, own if mine else None))
+                    out.append((r, block, edge[got].tobytes(), _rises(doc[texts]), _rises(texts), pack(n), pack(step), doc.tobytes() if mine else None, mark.tobytes() if mine else None, own if mine else None))
             yield pd.DataFrame(out, columns=["part", "block", "edge", "docs", "texts", "n", "step", "all_docs", "all_marks", "found"])
 
     def answer(g: pd.DataFrame) -> pd.DataFrame:
         edge = np.concatenate([np.frombuffer(x, np.uint64) for x in g["edge"]])
         doc = np.concatenate([_risen(x) for x in g["docs"]])
         texts = np.concatenate([_risen(x) for x in g["texts"]])
-        n = np.concatenate([_unpack(x) for x in g["n"]])
-        at = np.cumsum(np.concatenate([_unpack(x) for x in g["step"]]))
+        n = np.concatenate([unpack(x) for x in g["n"]])
+        at = np.cumsum(np.concatenate([unpack(x) for x in g["step"]]))
         start = np.cumsum(n) - n
         at -= np.repeat(np.where(start > 0, at[start - 1], 0), n)
         at = at.astype(np.int32)
@@ -176,7 +166,7 @@ def repeated_paths(docs: DataFrame, key: str, text: str, k: int, parts: int) ->
         steps = np.add.reduceat(steps, first) if len(first) else steps
         owner, at, source, source_at = owner[first], at[first], source[first], source_at[first]
         cut = np.searchsorted(owner, np.arange(len(doc) + 1))
-        rows = [(int(doc[i]), int(mark[i]), _rises(at[a:b]), _pack(steps[a:b]), source[a:b].tobytes(), _pack(source_at[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+        rows = [(int(doc[i]), int(mark[i]), _rises(at[a:b]), pack(steps[a:b]), source[a:b].tobytes(), pack(source_at[a:b])) for i, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
         out = pd.DataFrame(rows, columns=["doc", "mark", "start", "steps", "source", "source_start"])
         return out.astype({"doc": "int64", "mark": "int64"})
 
@@ -250,8 +240,8 @@ def _without(text: str | None, found: dict | None, k: int) -> tuple[int, int, st
     w = words.split(text)
     if found is None:
         return len(w), 0, b" ".join(w).decode("utf-8", "surrogatepass"), []
-    at, steps = _risen(bytes(found["start"])), _unpack(bytes(found["steps"]))
-    source, source_at = np.frombuffer(bytes(found["source"]), "<i8"), _unpack(bytes(found["source_start"]))
+    at, steps = _risen(bytes(found["start"])), unpack(bytes(found["steps"]))
+    source, source_at = np.frombuffer(bytes(found["source"]), "<i8"), unpack(bytes(found["source_start"]))
     cover = np.zeros(len(w) + 1, np.int32)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + steps + k - 1, -1)

@@ -57,3 +57,14 @@ def shingles(w: np.ndarray, n: int) -> np.ndarray:
     if 0 < len(w) < n:
         return mix(grams(w, len(w)), len(w))
     return np.unique(grams(w, n))
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs; the first byte says how many."""
+    top = int(x.max()) if len(x) else 0
+    size = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
