@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 # Minutes after publication at which engagement is captured.
 MILESTONES = [10, 30, 60, 180, 360, 720, 1440]
@@ -122,3 +123,14 @@ def smoothed_mean(values: Column, prior: float = 0.5, strength: float = 5.0) ->
 
 def half_life(x: Column, days: float = 30.0) -> Column:
     return F.pow(F.lit(0.5), x / days)
+
+
+def preference(x: Column, places: int = 6) -> Column:
+    """x within 0 to 1; one half if it is missing or no number."""
+    bad = x.isNull() | F.isnan(x)
+    return F.when(bad, 0.5).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), places))
+
+
+def share(weight: Column, places: int = 4) -> Column:
+    """Each weight's part of all; for tables of settings, of which there are few."""
+    return F.round(weight / F.sum(weight).over(W.partitionBy()), places)

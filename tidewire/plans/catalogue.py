@@ -3,10 +3,13 @@
 from tidewire.plans import (  # noqa: F401
     q_api,
     q_intake,
+    q_lists,
     q_ranking,
     q_relational,
+    q_selection,
     q_series,
     q_similarity,
+    q_stories,
     q_text,
 )
 from tidewire.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from tidewire.functions import fuzzy
 from tidewire.functions import numbers as N
 from tidewire.operators import momentum as MO
+from tidewire.operators import publishing as P
 from tidewire.operators import ranking as R
 from tidewire.plans.base import events, query
 from tidewire.session import table
@@ -138,10 +139,10 @@ def selection_topk(spark, sf_dir):
 
 @query("repetition_penalty")
 def repetition_penalty(spark, sf_dir):
-    """Headlines against earlier ones of the same brand and size, by sorted-token ratio; Python in Arrow batches."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name")
-    q = p.select(F.col("p_partkey").alias("earlier"), "p_brand", "p_size", F.col("p_name").alias("old"))
-    pairs = p.join(q, ["p_brand", "p_size"]).where("earlier < p_partkey")
+    """Headlines against the last 30 of their brand in 12 hours, by sorted-token ratio; Python in Arrow batches."""
+    at = F.timestamp_micros(F.col("p_partkey").cast("long") * 20_000_000)
+    p = P.recent_of(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", at.alias("at")), "p_brand", "at", "p_name")
+    pairs = p.select("p_partkey", "p_name", F.explode("recent").alias("old"))
     scored = pairs.select("p_partkey", fuzzy.score(fuzzy.token_sort, F.col("p_name"), F.col("old")).alias("r"))
     hit = scored.groupBy("p_partkey").agg(F.max("r").alias("closest"))
     return hit.withColumn("penalty", F.when(F.col("closest") >= 0.85, 0.25).otherwise(0.0))

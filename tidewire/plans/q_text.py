@@ -157,13 +157,20 @@ def sanitized_counters(spark, sf_dir):
 
 @query(
     "ip_ranges",
-    """WITH r(name, lo, hi) AS (VALUES ('this', 0, 16777215), ('private10', 167772160, 184549375), ('loopback', 2130706432, 2147483647), ('linklocal', 2851995648, 2852061183), ('private172', 2886729728, 2887778303), ('private192', 3232235520, 3232301055)),
-    a AS (SELECT c_custkey, (CAST(c_custkey AS BIGINT) * 28633115 + 77) % 4294967296 AS ip FROM customer)
+    """WITH r(name, lo, hi) AS (VALUES ('this', 0, 16777215), ('private10', 167772160, 184549375), ('carrier', 1681915904, 1686110207), ('loopback', 2130706432, 2147483647), ('linklocal', 2851995648, 2852061183),
+      ('private172', 2886729728, 2887778303), ('protocol', 3221225472, 3221225727), ('test1', 3221225984, 3221226239), ('relay', 3227017984, 3227018239), ('private192', 3232235520, 3232301055),
+      ('benchmark', 3323068416, 3323199487), ('test2', 3325256704, 3325256959), ('test3', 3405803776, 3405804031), ('multicast', 3758096384, 4026531839), ('reserved', 4026531840, 4294967295)),
+    a AS (SELECT c_custkey, (CAST(c_custkey AS BIGINT) * 28633115 + 77) % 4294967296 AS ip FROM customer UNION ALL SELECT -n_nationkey - 1, lo + n_nationkey FROM nation, r)
     SELECT c_custkey, ip, name AS refused FROM a LEFT JOIN r ON ip BETWEEN lo AND hi""",
 )
 def ip_ranges(spark, sf_dir):
-    """Addresses that must not be fetched, by a range join with the fixed list of ranges."""
-    from tidewire.sources.addresses import refused
+    """Addresses that must not be fetched, and some at the start of every block."""
+    from ipaddress import ip_network
+
+    from tidewire.sources.addresses import BLOCKS, refused
 
     a = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey").cast("long") * 28633115 + 77) % 4294967296).alias("ip"))
+    starts = F.array(*[F.lit(int(ip_network(block).network_address)) for block in BLOCKS.values()])
+    n = table(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).cast("long").alias("c_custkey"), F.explode(starts).alias("lo"), "n_nationkey")
+    a = a.unionByName(n.select("c_custkey", (F.col("lo") + F.col("n_nationkey")).alias("ip")))
     return refused(a, "ip").select("c_custkey", "ip", "refused")

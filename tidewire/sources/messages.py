@@ -69,3 +69,9 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
         m("likes", "like_count").alias("reactions"), m("replies", "reply_count").alias("replies"), m("bookmarks", "bookmark_count").alias("saves"),
         F.coalesce("is_retweet", F.lit(False)).alias("is_repost"), F.col("referenced_tweet").alias("quoted"), "media",
     )
+
+
+def first_count(document: Column, paths: list[str]) -> Column:
+    """The first whole number from 0 at one of the paths of a JSON document; truth values and other texts are none."""
+    found = [F.get_json_object(document, p) for p in paths]
+    return F.coalesce(*[F.when(x.rlike(r"^\d+$"), x.try_cast("bigint")) for x in found])
