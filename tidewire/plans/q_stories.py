@@ -78,13 +78,13 @@ def source_diversity(spark, sf_dir):
 
 @query(
     "ranking_momentum",
-    f"""WITH {_M}, r AS (SELECT story_id, coalesce(avg(CASE WHEN event_type = 'view' THEN value / 500 END), 0.5) AS r, coalesce(max(CASE WHEN event_type <> 'error' THEN greatest(0, least(1, value / 500)) END), 0.2) AS v,
+    f"""WITH {_M}, r AS (SELECT story_id, coalesce(avg(CASE WHEN event_type = 'view' THEN value / 377 END), 0.5) AS r, coalesce(max(CASE WHEN event_type <> 'error' THEN greatest(0, least(1, value / 500)) END), 0.2) AS v,
       coalesce(max(CASE WHEN event_type = 'click' THEN greatest(0, least(1, (value - 50) / 100)) END), 0.2) AS a, round(1 - exp(-0.7 * (story_id % 4)), 4) AS s, CASE WHEN story_id % 5 = 0 THEN 0.2 ELSE 0.85 END AS c FROM m GROUP BY story_id)
     SELECT story_id, round(r, 4) AS relative_performance, round(v, 4) AS engagement_velocity, round(a, 4) AS engagement_acceleration, s AS spread, CAST(c AS DOUBLE) AS consistency, round(0.4 * r + 0.2 * v + 0.1 * a + 0.2 * s + 0.1 * c, 4) AS momentum FROM r""",
 )
 def ranking_momentum(spark, sf_dir):
     e, v = F.col("event_type"), F.col("value")
-    m = members(spark, sf_dir).select("story_id", F.when(e == "view", v / 500).alias("r"), F.when(e != "error", v).alias("v"), F.when(e == "click", v - 50).alias("a"))
+    m = members(spark, sf_dir).select("story_id", F.when(e == "view", v / 377).alias("r"), F.when(e != "error", v).alias("v"), F.when(e == "click", v - 50).alias("a"))
     return ST.ranking_momentum(m, "story_id", "r", "v", "a", F.col("story_id") % 4, F.col("story_id") % 5 == 0)
 
 
@@ -251,7 +251,7 @@ def follow_up_chain(spark, sf_dir):
 
 @query(
     "config_overrides",
-    """SELECT p_partkey, coalesce(CASE p_brand WHEN 'Brand#11' THEN 0.9 WHEN 'Brand#12' THEN 0.1 END, 0.5) AS weight FROM part""",
+    """SELECT p_partkey, CAST(coalesce(CASE p_brand WHEN 'Brand#11' THEN 0.9 WHEN 'Brand#12' THEN 0.1 END, 0.5) AS DOUBLE) AS weight FROM part""",
 )
 def config_overrides(spark, sf_dir):
     """Settings from a table, with a default where there is none; the settings are a fixed few rows."""
