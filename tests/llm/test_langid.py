@@ -55,3 +55,50 @@ def test_symbols_beyond_the_basic_plane_are_no_letters(spark):
     model = fit(docs(spark), "text", "lang", F.col("doc_id"), Settings(per_language=30))
     got = predict(spark.createDataFrame([(1, "\U0001f642\U0001f680" * 20)], "doc_id long, text string"), model, "text", ["doc_id"]).first()
     assert (got.lang_pred, got.score, got.rejected) == ("und", 0.0, True)
+
+
+def plain_counts(text, dims):
+    """n-gram counts and letters by loops over characters."""
+    out, letters, chars = {}, 0, [32]
+    for ch in (text or "").lower():
+        if ch.isalpha():
+            letters += 1
+            chars.append(ord(ch))
+        elif chars[-1] != 32 or len(chars) == 1:
+            chars.append(32)
+    for n in (2, 3):
+        for i in range(len(chars) - n + 1):
+            h = chars[i] * 0x9E3779B1 % 2**32
+            for k in range(1, n):
+                h = (h ^ chars[i + k]) * 0x85EBCA6B % 2**32
+            out[(h >> 16) % dims] = out.get((h >> 16) % dims, 0) + 1
+    return out, letters
+
+
+def test_prediction_equals_a_plain_version(spark):
+    """TF-IDF and cosine by loops, for texts of all kinds: ties, repeats, null, empty, symbols, other scripts, very long."""
+    model = fit(docs(spark), "text", "lang", F.col("doc_id"), Settings(per_language=30, dims=512))
+    texts = ["salo mire", "SALO, mire!", "xqurt", "öäü ßöß", None, "", "12 !?", "a", "salo xqurt öäü", "\U0001f642 salo", "日本語 текст", "tavo " * 50_000, "salo mire", " salo\u00a0mire ", "İI ﬁ ǅ"]
+    got = {r.doc_id: r for r in predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, "text", ["doc_id"]).collect()}
+    for i, text in enumerate(texts):
+        found, letters = plain_counts(text, 512)
+        own = {k: n**0.5 * model.idf[k] for k, n in found.items()}
+        norm = sum(x * x for x in own.values()) ** 0.5 or 1
+        cos = [sum(x * float(c[k]) for k, x in own.items()) / norm for c in model.centroids]
+        want = max(range(len(cos)), key=lambda j: (round(cos[j], 5), -j))
+        if not letters:
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+        else:
+            assert abs(got[i].score - min(1, max(0, max(cos)))) < 1e-4 and cos[model.languages.index(got[i].lang_pred)] <= max(cos)
+            assert got[i].lang_pred == model.languages[want], (text, cos)
+            size = min(11, int(np.log2(letters)))
+            assert got[i].rejected == (got[i].score < model.floor[size])
+
+
+def test_learning_is_bounded_with_repeats_and_many_languages(spark):
+    rows = [(1, "salo mire tavo", "aa")] * 3000 + [(1, f"xqurt {w}", "bb") for w in WORDS["bb"].split() * 200] + [(i, "kelu", f"z{i:04d}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    model = fit(df, "text", "lang", F.col("doc_id"), Settings(per_language=5, languages=3))
+    assert set(model.languages) == {"aa", "bb", "z0000"} and len(model.languages) <= 3 * 4
+    again = fit(df.repartition(3), "text", "lang", F.col("doc_id"), Settings(per_language=5, languages=3))
+    assert again.languages == model.languages and (again.centroids == model.centroids).all()

@@ -4,7 +4,8 @@ Texts become L2-normalised TF-IDF vectors of hashed character bigrams and trigra
 centroids, found by spherical k-means over its training texts. A text takes the language of the nearest centroid by
 cosine; where even that one is too far for its length, the text is rejected.
 
-Only training is bounded: at most `per_language` labelled texts of each language are kept. Prediction reads whole texts.
+Only training is bounded: at most `per_language` labelled texts of each of the `languages` commonest languages are kept.
+Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 UNKNOWN = "und"
 _STEP = 1 << 21
@@ -26,6 +28,7 @@ _LETTER: np.ndarray | None = None
 class Settings:
     dims: int = 4096
     per_language: int = 400
+    languages: int = 500  # the commonest ones are learned
     centroids: int = 4
     rounds: int = 12
     reject_share: float = 0.35  # of the least cosine that training texts no shorter reach with their own language
@@ -102,27 +105,32 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 def fit(docs: DataFrame, text: str, lang: str, key: Column, settings: Settings = Settings()) -> Model:
     """Learn from the labelled rows of docs: those with a language and at least one letter.
 
-    A bounded sample is drawn by the hash of `key`: `per_language` texts of each language. Their vectors, of fixed size,
-    are made on the executors.
+    A bounded sample is drawn by the hash of `key` and text: at most `per_language` texts of each language; rows that repeat
+    both count once. Of more than `languages` languages the commonest are learned, of equally common ones the first in
+    alphabetical order. The sample's vectors, of fixed size, are made on the executors.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"), F.pmod(F.xxhash64(key), F.lit(1_000_003)).alias("__h")
+        F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"), F.xxhash64(key, text).alias("__x")
     )
-    sizes = {r["__lang"]: r["n"] for r in rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    common = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("__x").alias("texts")).orderBy(F.desc("n"), "__lang").limit(settings.languages)
+    sizes = {r["__lang"]: r["texts"] for r in common.collect()}
     dims = settings.dims
     if not sizes:
         return Model([], np.zeros((0, dims), np.float32), np.ones(dims), np.zeros(12))
     share = F.lit(0)
-    for name, n in sizes.items():
-        share = F.when(F.col("__lang") == name, F.lit(int(1_000_003 * min(1.0, settings.per_language / n)))).otherwise(share)
+    for name, n in sizes.items():  # twice as many as needed, so that the least hashes are among them
+        share = F.when(F.col("__lang") == name, F.lit(int(1_000_003 * min(1.0, 2 * settings.per_language / n)))).otherwise(share)
+    drawn = rows.where(F.pmod("__x", F.lit(1_000_003)) < share).dropDuplicates(["__lang", "__x"])
+    place = F.row_number().over(W.partitionBy("__lang").orderBy(F.pmod("__x", F.lit(1_000_003)), "__x"))
+    drawn = drawn.withColumn("__h", place).where(F.col("__h") <= settings.per_language)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [counts(t, dims) for t in b["__text"]]
             yield pd.DataFrame({"lang": b["__lang"], "h": b["__h"], "letters": [n for _, n in got], "v": [c.astype(np.int32).tobytes() for c, _ in got]})
 
-    seen = rows.where(F.col("__h") < share).mapInPandas(vectors, "lang string, h long, letters long, v binary").where("letters > 0").toPandas()
-    seen = seen.sort_values(["lang", "h", "v"]).groupby("lang").head(settings.per_language)
+    seen = drawn.select("__lang", "__text", F.col("__h").cast("long").alias("__h")).mapInPandas(vectors, "lang string, h long, letters long, v binary").where("letters > 0").toPandas()
+    seen = seen.sort_values(["lang", "h"], ignore_index=True)
     if seen.empty:
         return Model([], np.zeros((0, dims), np.float32), np.ones(dims), np.zeros(12))
     c = np.stack([np.frombuffer(v, np.int32) for v in seen["v"]])
