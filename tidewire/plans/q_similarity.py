@@ -100,14 +100,13 @@ def centroid_by_label(spark, sf_dir):
     SELECT doc_id, candidate, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 30""",
 )
 def candidate_union_cap(spark, sf_dir):
-    """Two candidate lists in priority order, first occurrence kept, 30 an item. Lengths are banded, so that the join is an
-    equality."""
+    """Two candidate lists in priority order, first occurrence kept, 30 an item: documents of the source with nearly the
+    same length, then those of the language with the same length. What a document may see is made once for each length."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    y = d.select(F.col("doc_id").alias("candidate"), "source", F.col("lang").alias("l"), F.col("n_chars").alias("pos"), F.floor(F.col("n_chars") / 20).alias("band"))
-    x = d.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("n_chars") / 20) + k)))
-    one = x.join(y, ["source", "band"]).where("doc_id <> candidate and abs(n_chars - pos) <= 20").select("doc_id", "candidate", "pos")
-    two = d.join(y, (F.col("lang") == F.col("l")) & (F.col("n_chars") == F.col("pos")) & (F.col("doc_id") != F.col("candidate"))).select("doc_id", "candidate", "pos")
-    return S.ordered_union([one, two], "doc_id")
+    one = d.join(S.first_of_level(d, ["source"], "n_chars", "doc_id", 31, 20), ["source", "n_chars"])
+    two = d.join(S.first_of_level(d, ["lang"], "n_chars", "doc_id", 61), ["lang", "n_chars"])
+    lists = [x.select("doc_id", F.inline("first")).where("candidate <> doc_id") for x in (one, two)]
+    return S.ordered_union(lists, "doc_id")
 
 
 def _turns(spark, sf_dir):
