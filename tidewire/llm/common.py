@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidewire.session import checkpointed
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, without their lineage.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset, as in tests, an own
-    temporary one is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ck-"))
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the folder that driver and executors share, without their lineage."""
+    return checkpointed(df)
 
 
 def partitions(spark: SparkSession) -> int:
