@@ -7,7 +7,6 @@ first stage like any text without letters; rows that share a doc_id are kept or
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from tidewire.llm.packing import pieces, place
 from tidewire.llm.q_langid import held_out
 from tidewire.llm.q_packing import CAPACITY, END, byte_bpe_encoder
 from tidewire.llm.substrings import dedup
+from tidewire.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REPEAT = 50  # words; a shorter passage that repeats stays
@@ -48,7 +48,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """The pieces of all texts, each with its place in one of as few sequences of at most 1024 tokens as can be.
+
+    A null text counts as empty and is one piece, the end token. Rows that repeat, or share a doc_id, have pieces of their
+    own; pieces of one size that agree in doc_id, place and ids are interchangeable. An empty table gives an empty one.
+    """
     return place(pieces(docs, "text", ["doc_id"], byte_bpe_encoder, END, CAPACITY), CAPACITY, "length", ["doc_id", "piece", "start", "ids_crc32"])
 
 
@@ -59,10 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again."""
-    sc = spark.sparkContext
-    shared = sc._jsc.sc().getCheckpointDir()
-    top = shared.get() if shared.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{top}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
