@@ -40,3 +40,16 @@ def test_slots_are_gapless_and_rows_whole(spark):
 
 def test_empty_table(spark):
     assert shard(rows(spark).limit(0), 40).count() == 0
+
+
+def test_equals_the_sql(spark):
+    import duckdb
+
+    from tidewire.llm.q_sharding import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(ORACLES["op9_sharding"])
+    got = QUERIES["op9_sharding"](spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())

@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import dense_rank_offsets, partitions
+from tidewire.llm.common import dense_rank_offsets
 
 # Fixed values of the published algorithm.
 MULTIPLIER = 2862933555777941757
 LOW32 = 0xFFFFFFFF
 
+BUCKETS = 1024  # of a shard's rows while slots are handed out
+
 
 def _next_key(key: Column) -> Column:
     """key * MULTIPLIER + 1 modulo 2^64, as a signed long."""
@@ -36,9 +38,12 @@ def _next_key(key: Column) -> Column:
     return F.shiftleft(high.bitwiseAND(F.lit(LOW32)), 32).bitwiseOR(low.bitwiseAND(F.lit(LOW32)))
 
 
-def jump_shard(key: Column, shards: int) -> Column:
-    """The shard of a long key among `shards`. b rises with every jump, so `shards` jumps always suffice; a null key
-    counts as 0."""
+def jumps(key: Column, shards: int) -> Column:
+    """(shard, next): the shard of a long key among `shards`, and where its next jump leads, which is beyond them all. With
+    one more shard a key whose next jump is that shard moves there, and no other moves. A null key counts as 0.
+
+    b rises with every jump, so `shards` jumps always suffice.
+    """
     if shards < 1:
         raise ValueError("shards must be positive")
     state = F.struct(F.coalesce(key.cast("long"), F.lit(0)).alias("key"), F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("j"))
@@ -59,7 +64,8 @@ def jump_shard(key: Column, shards: int) -> Column:
             )[0]
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), state, jump, lambda s: s["b"]).cast("int")
+    end = lambda s: F.struct(s["b"].cast("int").alias("shard"), s["j"].alias("next"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), state, jump, end)
 
 
 def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,7 +73,8 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
 
     size is the text's UTF-8 bytes plus 16; a null text counts as empty (size 16, crc 0) and a null key as key 0 in
     placing. Rows that repeat keep a slot each. Slots run from 0 without gaps within a shard; they are handed out by
-    buckets of hashed rows, so that no shard is gathered in one task. Other columns are ignored.
+    buckets of key and text, in order of bucket, key, size and crc, so that no shard is gathered in one task; only rows that
+    repeat whole share a bucket. Other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -75,7 +82,8 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
         (F.octet_length(body).cast("long") + F.lit(16)).alias("size"),
         F.crc32(F.encode(body, "utf-8")).alias("text_crc32"),
     )
-    rows = rows.withColumns({"shard": jump_shard(F.col(key), shards), "grown_shard": jump_shard(F.col(key), shards + 1)})
-    return dense_rank_offsets(
-        rows, "shard", F.xxhash64(key, "size", "text_crc32"), [key, "size", "text_crc32"], "slot", partitions(docs.sparkSession)
-    )
+    rows = rows.withColumn("__at", jumps(F.col(key), shards))
+    grown = F.when(F.col("__at.next") == shards, shards).otherwise(F.col("__at.shard"))
+    rows = rows.withColumns({"shard": F.col("__at.shard"), "grown_shard": grown}).drop("__at")
+    bucket = F.pmod(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.lit(BUCKETS)) + F.col("text_crc32") % BUCKETS
+    return dense_rank_offsets(rows, "shard", bucket, [key, "size", "text_crc32"], "slot", BUCKETS)
