@@ -32,7 +32,7 @@ from tidewire.llm.components import components
 from tidewire.llm.words import pack, unpack
 
 NONE = -(1 << 63)  # stands for a null key
-BLOCK_TOKENS = 1_000_000  # of one block; bounds a task's memory
+BLOCK_TOKENS = 500_000  # of one block; bounds a task's memory
 
 
 def _sets(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -158,8 +158,8 @@ def predict(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFr
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.iloc[i : i + 256]
+            for i in range(0, len(b), 128):
+                part = b.iloc[i : i + 128]
                 got = [counts(t, dims) for t in part["__text"]]
                 letters = np.array([n for _, n in got])
                 out = part.drop(columns="__text")

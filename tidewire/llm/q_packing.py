@@ -22,7 +22,6 @@ def byte_bpe_encoder():
     """
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(LIBRARY), encoding="utf-8") as f:
         added = [t["content"] for t in json.load(f)["added_tokens"]]
@@ -30,12 +29,14 @@ def byte_bpe_encoder():
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     blank = re.compile(rf"\s{{{BLANK}}}")
-    library: list[Tokenizer] = []
+    library = []
 
     def encode(text: str) -> list[int]:
         if not any(a in text for a in added) and (len(text) < BLANK or not blank.search(text)):
             return fast(text)
         if not library:
+            from tokenizers import Tokenizer
+
             library.append(Tokenizer.from_file(public_tokenizers.path(LIBRARY)))
         return library[0].encode(text, add_special_tokens=False).ids
 

@@ -26,7 +26,7 @@ from tidewire.llm import words
 from tidewire.llm.common import partitions
 from tidewire.llm.words import pack, unpack
 
-BLOCK_WINDOWS = 500_000
+BLOCK_WINDOWS = 350_000
 LAST = (1 << 63) - 1  # stands for a null key: later than every other
 _SPANS = "start binary, steps binary, source binary, source_start binary"
 

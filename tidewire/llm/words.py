@@ -16,7 +16,7 @@ _D = np.uint64(0x94D049BB133111EB)
 
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 60_000:
             self.clear()
         self[word] = n = xxhash.xxh3_64_intdigest(word)
         return n
