@@ -41,9 +41,13 @@ def strip_html(c: Column) -> Column:
     return F.when(c.rlike(TAG), unescape(F.regexp_replace(F.regexp_replace(c, BREAK, "\n"), ANY_TAG, ""))).otherwise(c)
 
 
+# Control characters but tab and line ends, and marks of direction.
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f‎‏‪-‮]"
+
+
 def tidy(c: Column) -> Column:
     """What normalisation does after markup and NFKC: control and direction marks, letters, joiners, white space."""
-    c = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f‎‏‪-‮]", "")
+    c = F.regexp_replace(c, CONTROLS, "")
     for old, new in LETTERS:
         c = F.replace(c, F.lit(old), F.lit(new))
     c = F.regexp_replace(c, "ـ+", "")

@@ -61,6 +61,8 @@ class _Reader(HTMLParser):
             self.buffer = []
         elif tag == "title":
             self.open.append("title")
+        elif tag == "br" and self.buffer is not None:
+            self.buffer.append(" ")
 
     def handle_endtag(self, tag):
         if tag == "p":
