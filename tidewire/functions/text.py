@@ -179,3 +179,15 @@ def first_json(c: Column) -> Column:
     return F.when(got != "", got)
 
 
+#: Persian filler phrases that a draft goes without: fixed values.
+FILLERS = [r"لازم به ذکر است(?: که)?", r"شایان ذکر است(?: که)?", "در دنیای امروز", "بدون شک", "همانطور که می‌دانید"]
+
+
+def persian(text: Column) -> Column:
+    """A draft without filler phrases, space before marks, runs of spaces and more than one empty line; null is empty."""
+    blank = r"(?U)^\s+|\s+$"
+    steps = [*[(f, "") for f in FILLERS], (r"(?U)\s+([.،؛!؟])", "$1"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (blank, "")]
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), blank, "")
+    for pattern, by in steps:
+        out = F.regexp_replace(out, pattern, by)
+    return out

@@ -1,6 +1,7 @@
 """Every registered query of the engine with its SQL oracle."""
 
 from tidewire.plans import (  # noqa: F401
+    q_analysis,
     q_api,
     q_intake,
     q_lists,
