@@ -124,27 +124,34 @@ def repeated_paths(docs: DataFrame, key: str, text: str, k: int, parts: int) ->
         doc = np.concatenate([_risen(x) for x in g["docs"]])
         texts = np.concatenate([_risen(x) for x in g["texts"]])
         n = np.concatenate([unpack(x) for x in g["n"]])
-        at = np.cumsum(np.concatenate([unpack(x) for x in g["step"]]))
+        row = np.repeat(np.arange(len(g)), [len(unpack(x)) for x in g["n"]])
+        # Places by sums modulo 2^32: differences are right as long as a place itself is below 2^31.
+        at = np.cumsum(np.concatenate([unpack(x).astype(np.int32) for x in g["step"]]), dtype=np.int32)
         start = np.cumsum(n) - n
         at -= np.repeat(np.where(start > 0, at[start - 1], 0), n)
-        at = at.astype(np.int32)
         owner = np.repeat(np.arange(len(doc), dtype=np.int32), n)
-        of_row = np.repeat(np.arange(len(g), dtype=np.int32), [len(x) // 8 for x in g["edge"]])
-        order = np.argsort(edge, kind="stable")
-        e = edge[order]
-        same = np.r_[False, e[1:] == e[:-1]][: len(e)]
-        twice = same.copy()
-        twice[:-1] |= same[1:]
-        order = order[twice]  # edges with several starts only
-        order = order[np.lexsort((at[order], doc[owner[order]], edge[order]))]
-        e = edge[order]
-        head = np.r_[True, e[1:] != e[:-1]][: len(e)]
-        least = order[head][np.cumsum(head) - 1] if len(e) else order
-        later = doc[owner[order]] > doc[owner[least]]
-        mine, of = order[later], least[later]
+        mine, of = [], []
+        low = edge.view(np.uint8)[::8] & 7  # all starts of an edge have the same low bits, so eighths are sorted one by one
+        for eighth in range(8):
+            some = np.flatnonzero(low == eighth).astype(np.int32)
+            e = edge[some]
+            order = np.argsort(e, kind="stable")
+            e = e[order]
+            same = np.r_[False, e[1:] == e[:-1]][: len(e)]
+            twice = same.copy()
+            twice[:-1] |= same[1:]
+            order = some[order[twice]]  # edges with several starts only
+            order = order[np.lexsort((at[order], doc[owner[order]], edge[order]))]
+            e = edge[order]
+            head = np.r_[True, e[1:] != e[:-1]][: len(e)]
+            least = order[head][np.cumsum(head) - 1] if len(e) else order
+            later = doc[owner[order]] > doc[owner[least]]
+            mine.append(order[later])
+            of.append(least[later])
+        mine, of = np.concatenate(mine), np.concatenate(of)
         by = np.argsort(mine, kind="stable")  # by block, text and place, as they came
         mine, of = mine[by], of[by]
-        cut = np.searchsorted(of_row[mine], np.arange(len(g) + 1))
+        cut = np.searchsorted(row[owner[mine]], np.arange(len(g) + 1))
         found = []
         for i, (a, b) in enumerate(zip(cut, cut[1:])):
             m, o = mine[a:b], of[a:b]
