@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import api
+from tidewire.functions import text as T
+from tidewire.operators import api, facts
 from tidewire.plans.base import query
 from tidewire.session import table
 
@@ -64,3 +65,10 @@ def merge_roots(spark, sf_dir):
 def fact_diff(spark, sf_dir):
     f = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(F.sha2(F.lower(F.regexp_replace("text", "[^a-zA-Z]+", "")), 256), 1, 16).alias("h"))
     return api.diff(f, "conv_id", "turn", "h").select("conv_id", "turn", "state")
+
+
+@query("fact_changes")
+def fact_changes(spark, sf_dir):
+    """Every sentence of a conversation against those of earlier turns: new, repeated or changed. Ratios are not SQL."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"), most=1 << 30)).alias("pos", "fact"))
+    return facts.diff(turns, "conv_id", "turn", "fact").select("conv_id", "turn", "pos", "state")
