@@ -12,5 +12,6 @@ from tidewire.plans import (  # noqa: F401
     q_similarity,
     q_stories,
     q_text,
+    q_timers,
 )
 from tidewire.plans.base import ORACLES, QUERIES  # noqa: F401
