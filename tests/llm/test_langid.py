@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm.langid import Settings, counts, fit, predict
+from tidewire.llm.langid import Settings, bound, counts, fit, predict
 
 WORDS = {"aa": "salo mire tavo kelu", "bb": "xqurt vrznk ptkss wlmpf", "cc": "öäü ßöß äüö"}
 
@@ -102,3 +103,28 @@ def test_learning_is_bounded_with_repeats_and_many_languages(spark):
     assert set(model.languages) == {"aa", "bb", "z0000"} and len(model.languages) <= 3 * 4
     again = fit(df.repartition(3), "text", "lang", F.col("doc_id"), Settings(per_language=5, languages=3))
     assert again.languages == model.languages and (again.centroids == model.centroids).all()
+
+
+@pytest.mark.parametrize("n", [1, 799, 800, 801, 10**6, 8 * 10**8, 10**9, 10**12, 10**15])
+def test_draw_has_no_size_at_which_a_language_is_lost(n):
+    """The expected number of n evenly spread 64-bit hashes up to the bound."""
+    share = (bound(n, 400) + (1 << 63) + 1) / 2**64
+    assert share * n == pytest.approx(min(n, 800), rel=1e-6)
+
+
+def test_five_hundred_languages_of_four_hundred_texts(spark):
+    """Under the session's limit of 1 GB for results; dense counts of the same texts would be 3.2 GB."""
+    assert spark.conf.get("spark.driver.maxResultSize", "1g") == "1g"
+    alphabet = F.udf(lambda lang, i: " ".join(chr(0x4E00 + lang * 30 + (i * 7 + k * (1 + i % 5)) % 30) * 2 for k in range(20)), "string")
+    rows = spark.range(500 * 400).repartition(16).select((F.col("id") % 500).cast("int").alias("n"), (F.col("id") / 500).cast("int").alias("i"))
+    rows = rows.select(F.concat(F.lit("l"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("lang"), F.concat(alphabet("n", "i"), F.lit(" "), F.col("i").cast("string")).alias("text"), F.col("i"))
+    model = fit(rows, "text", "lang", F.col("i"), Settings(rounds=2))
+    assert len(set(model.languages)) == 500 and len(model.languages) <= 2000
+    got = predict(rows.where("i = 5"), model, "text", ["lang"])
+    assert got.where("lang = lang_pred").count() >= 495
+
+
+def test_names_of_outputs_are_not_allowed_in_keep(spark):
+    df = docs(spark)
+    with pytest.raises(ValueError):
+        predict(df, fit(df.limit(0), "text", "lang", F.col("doc_id")), "text", ["score"])

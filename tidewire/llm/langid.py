@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidewire.llm.common import cut
+
 UNKNOWN = "und"
 _STEP = 1 << 21
 _LETTER: np.ndarray | None = None
@@ -102,58 +104,92 @@ def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
+def bound(n: int, wanted: int) -> int:
+    """The greatest 64-bit hash, as a signed number, of a draw of twice `wanted` of n different texts; all, if they are few.
+    Twice, so that the `wanted` least hashes are among them although n is an estimate."""
+    return (1 << 63) - 1 if n <= 2 * wanted else (2 * wanted << 64) // n - (1 << 63)
+
+
+def _sample(docs: DataFrame, text: str, lang: str, key: Column, s: Settings) -> DataFrame:
+    """lang, h (from 1) and text of at most `per_language` texts of each of the commonest `languages`: those with the least
+    hashes of key and text."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"), F.xxhash64(key, text).alias("__x")
+    )
+    common = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("__x").alias("texts")).orderBy(F.desc("n"), "__lang").limit(s.languages)
+    sizes = [(r["__lang"], bound(r["texts"], s.per_language)) for r in common.collect()]
+    bounds = docs.sparkSession.createDataFrame(sizes, "__lang string, __bound long")
+    drawn = rows.join(F.broadcast(bounds), "__lang").where(F.col("__x") <= F.col("__bound")).dropDuplicates(["__lang", "__x"])
+    place = F.row_number().over(W.partitionBy("__lang").orderBy("__x"))
+    return drawn.withColumn("h", place).where(F.col("h") <= s.per_language).select(F.col("__lang").alias("lang"), F.col("h").cast("long").alias("h"), "__text")
+
+
+def _dense(at: pd.Series, n: pd.Series, dims: int) -> np.ndarray:
+    out = np.zeros((len(at), dims), np.int32)
+    for row, i, k in zip(out, at, n):
+        row[np.frombuffer(i, np.int32)] = np.frombuffer(k, np.int32)
+    return out
+
+
 def fit(docs: DataFrame, text: str, lang: str, key: Column, settings: Settings = Settings()) -> Model:
     """Learn from the labelled rows of docs: those with a language and at least one letter.
 
     A bounded sample is drawn by the hash of `key` and text: at most `per_language` texts of each language; rows that repeat
     both count once. Of more than `languages` languages the commonest are learned, of equally common ones the first in
-    alphabetical order. The sample's vectors, of fixed size, are made on the executors.
+    alphabetical order. Texts are counted, weighted and clustered on the executors, one language in a task; the driver gets
+    the frequencies of n-grams and the centroids.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("__lang"), F.col(text).alias("__text"), F.xxhash64(key, text).alias("__x")
-    )
-    common = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("__x").alias("texts")).orderBy(F.desc("n"), "__lang").limit(settings.languages)
-    sizes = {r["__lang"]: r["texts"] for r in common.collect()}
-    dims = settings.dims
-    if not sizes:
-        return Model([], np.zeros((0, dims), np.float32), np.ones(dims), np.zeros(12))
-    share = F.lit(0)
-    for name, n in sizes.items():  # twice as many as needed, so that the least hashes are among them
-        share = F.when(F.col("__lang") == name, F.lit(int(1_000_003 * min(1.0, 2 * settings.per_language / n)))).otherwise(share)
-    drawn = rows.where(F.pmod("__x", F.lit(1_000_003)) < share).dropDuplicates(["__lang", "__x"])
-    place = F.row_number().over(W.partitionBy("__lang").orderBy(F.pmod("__x", F.lit(1_000_003)), "__x"))
-    drawn = drawn.withColumn("__h", place).where(F.col("__h") <= settings.per_language)
+    dims, s = settings.dims, settings
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [counts(t, dims) for t in b["__text"]]
-            yield pd.DataFrame({"lang": b["__lang"], "h": b["__h"], "letters": [n for _, n in got], "v": [c.astype(np.int32).tobytes() for c, _ in got]})
-
-    seen = drawn.select("__lang", "__text", F.col("__h").cast("long").alias("__h")).mapInPandas(vectors, "lang string, h long, letters long, v binary").where("letters > 0").toPandas()
-    seen = seen.sort_values(["lang", "h"], ignore_index=True)
-    if seen.empty:
+            out = []
+            for name, h, t in zip(b["lang"], b["h"], b["__text"]):
+                c, letters = counts(t, dims)
+                at = np.flatnonzero(c).astype(np.int32)
+                out.append((name, h, letters, at.tobytes(), c[at].astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["lang", "h", "letters", "at", "n"])
+
+    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, texts = np.zeros(dims, np.int64), 0
+        for b in batches:
+            texts += len(b)
+            for at in b["at"]:
+                total[np.frombuffer(at, np.int32)] += 1
+        yield pd.DataFrame({"at": np.r_[np.flatnonzero(total), -1], "n": np.r_[total[total > 0], texts]})
+
+    seen = cut(_sample(docs, text, lang, key, s).mapInPandas(vectors, "lang string, h long, letters long, at binary, n binary").where("letters > 0"))
+    found = seen.mapInPandas(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(dims)
+    often[found["at"][found["at"] >= 0]] = found["n"][found["at"] >= 0]
+    texts = int(found["n"][found["at"] < 0].sum())
+    idf = np.log((1 + texts) / (1 + often)) + 1
+
+    def cluster(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("h")
+        x = _vectors(_dense(g["at"], g["n"], dims), idf)
+        own = _kmeans(x, s.centroids, s.rounds).astype(np.float32)
+        size, best = _length_class(g["letters"].to_numpy()), (x @ own.T).max(1)
+        least = [float(best[size == i].min()) if (size == i).any() else 2.0 for i in range(12)]  # no cosine is 2
+        return pd.DataFrame({"lang": g["lang"].iloc[0], "k": range(len(own)), "centroid": [c.tobytes() for c in own], "least": [least] * len(own)})
+
+    got = seen.groupBy("lang").applyInPandas(cluster, "lang string, k int, centroid binary, least array<double>").toPandas().sort_values(["lang", "k"], ignore_index=True)
+    if got.empty:
         return Model([], np.zeros((0, dims), np.float32), np.ones(dims), np.zeros(12))
-    c = np.stack([np.frombuffer(v, np.int32) for v in seen["v"]])
-    idf = np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 1
-    x = _vectors(c, idf)
-    names, cents = [], []
-    for name, at in seen.reset_index(drop=True).groupby("lang").indices.items():
-        own = _kmeans(x[at], settings.centroids, settings.rounds)
-        names += [name] * len(own)
-        cents.append(own)
-    cents = np.concatenate(cents).astype(np.float32)
-    best = np.where(np.array(names)[None, :] == seen["lang"].to_numpy()[:, None], x @ cents.T, -1).max(1)
-    size = _length_class(seen["letters"].to_numpy())
-    floor = np.array([settings.reject_share * best[size >= min(i, size.max())].min() for i in range(12)])
-    return Model(names, cents, idf, floor)
+    least = np.stack(got["least"].tolist()).min(0)
+    top = int(np.flatnonzero(least < 2).max())
+    floor = np.array([s.reject_share * least[min(i, top) :].min() for i in range(12)])
+    return Model(got["lang"].tolist(), np.stack([np.frombuffer(c, np.float32) for c in got["centroid"]]), idf, floor)
 
 
 def predict(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
     """docs' columns `keep` and lang_pred, score (cosine, 0 to 1), rejected.
 
     A null text, or one without letters, is `und` with score 0 and rejected. So is every text if nothing was learned.
-    Equal cosines go to the language first in alphabetical order.
+    Equal cosines go to the language first in alphabetical order. Columns of these names in `keep` are not allowed (ValueError).
     """
+    if {"lang_pred", "score", "rejected"} & set(keep):
+        raise ValueError("keep has a column named like an output")
     dims = len(model.idf)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
