@@ -8,6 +8,7 @@ first stage like any text without letters; rows that share a doc_id are kept or
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +23,31 @@ from tidewire.llm.substrings import dedup
 from tidewire.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Texts are of any length, so a batch on its way to a Python worker is bounded by bytes first; both sides hold two of them.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 REPEAT = 50  # words; a shorter passage that repeats stays
 
 
+def bounded(stage):
+    """The stage, with BATCH set in the session. Settings stay, since a stage's rows are computed when they are written."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for name, value in BATCH.items():
+            spark.conf.set(name, value)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@bounded
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is told with confidence. The classifier learns from the table's labelled rows."""
     model = fit(spark.read.parquet(f"{sf_dir}/documents.parquet").where(~held_out()), "text", "lang", F.col("doc_id"))
     return predict(docs.select(*COLUMNS, F.col("text").alias("__read")), model, "__read", COLUMNS).where(~F.col("rejected")).select(*COLUMNS)
 
 
+@bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id. Five words, similarity 0.8."""
     groups = classes(docs, "doc_id", "text")
@@ -38,6 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(other, F.col("doc_id") == F.col("__gone"), "left_anti").select(*COLUMNS)
 
 
+@bounded
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of at least 50 words that an earlier document has. Texts without such a passage stay as they
     are; of others, the words left are joined by one space, and a document of which nothing is left goes."""
@@ -47,6 +65,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@bounded
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all texts, each with its place in one of as few sequences of at most 1024 tokens as can be.
 
