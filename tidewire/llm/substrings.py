@@ -211,7 +211,7 @@ def dedup(docs: DataFrame, key: str, text: str, keep: list[str], k: int = 50) ->
     """
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()[0]
-    parts = max(partitions(spark), math.ceil(size / (16 << 20)))
+    parts = max(partitions(spark), math.ceil(size / (8 << 20)))
     found = repeated_paths(docs, key, text, k, parts).dropDuplicates(["doc", "mark"])
     found = found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.struct("start", "steps", "source", "source_start").alias("__found"))
     rest = [c for c in keep if c != text]
