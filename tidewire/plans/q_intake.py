@@ -67,7 +67,7 @@ def latest_revision(spark, sf_dir):
 @query(
     "milestone_captures",
     """WITH c AS (SELECT user_id, ts, value, event_id, list_sort([[abs(age - m), m] FOR m IN [10, 30, 60, 180, 360, 720, 1440]])[1][2] AS target
-      FROM (SELECT *, CAST(date_diff('second', min(ts) OVER (PARTITION BY user_id), ts) // 60 AS BIGINT) AS age FROM events) WHERE age <= 2000)
+      FROM (SELECT *, CAST(date_diff('second', min(ts) OVER (PARTITION BY user_id), ts) // 60 AS BIGINT) AS age FROM events))
     SELECT user_id, CAST(target AS INTEGER) AS target, arg_min(event_id, (ts, event_id)) AS event_id FROM c GROUP BY user_id, target""",
 )
 def milestone_captures(spark, sf_dir):
@@ -75,8 +75,8 @@ def milestone_captures(spark, sf_dir):
     e = events(spark, sf_dir)
     start = e.groupBy("user_id").agg(F.min("ts").alias("first"))
     age = F.floor((F.unix_seconds("ts") - F.unix_seconds("first")) / 60)
-    c = e.join(start, "user_id").withColumn("age", age).where("age <= 2000").withColumn("target", N.nearest_milestone(F.col("age")).cast("int"))
-    return c.groupBy("user_id", "target").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    c = e.join(start, "user_id").withColumn("target", N.nearest_milestone(age).cast("int")).withColumn("captured", F.struct("ts", "event_id"))
+    return intake.milestone_once(c.select("user_id", "target", "captured", "event_id"), "user_id", "target", "captured").select("user_id", "target", "event_id")
 
 
 @query(

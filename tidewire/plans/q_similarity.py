@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import fuzzy
 from tidewire.functions import numbers as N
 from tidewire.functions import text as T
+from tidewire.operators import lsh
 from tidewire.operators import matching as M
 from tidewire.operators import similarity as S
 from tidewire.plans.base import as_of, query
@@ -231,3 +232,11 @@ def primary_member(spark, sf_dir):
 def best_candidate(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return M.best_candidate(o, "o_custkey", "o_totalprice", "o_orderkey")
+
+
+@query("sketch_candidates")
+def sketch_candidates(spark, sf_dir):
+    """For each document the 15 others that are most like it by MinHash, from those that share a band."""
+    d = table(spark, sf_dir, "documents")
+    sketched = d.select("doc_id", S.minhash(T.shingles(T.tokens(F.col("text"))), 64).alias("sketch"))
+    return lsh.most_alike(*lsh.banded(sketched, "doc_id", "sketch", 16, 4, 0.3), 15).withColumnRenamed("key", "doc_id")
