@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tidewire.functions import numbers as N
 from tidewire.operators import baselines as B
 from tidewire.operators import momentum as MO
+from tidewire.operators import ranks as R
 from tidewire.operators import series as S
 from tidewire.plans.base import AS_OF, as_of, events, query
+from tidewire.session import table
 
 _P = [("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)]
 _PSQL = ", ".join(f"round(quantile_cont(value, {v}), 4) AS {n}" for n, v in _P)
@@ -241,3 +243,10 @@ def sliding_counts(spark, sf_dir):
 def session_windows(spark, sf_dir):
     g = events(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
     return g.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("price_percentiles", f"SELECT l_returnflag, count(*) AS n, {_PSQL.replace('(value,', '(CAST(l_extendedprice AS DOUBLE),')} FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag")
+def price_percentiles(spark, sf_dir):
+    """Groups that hold a third of all rows each, by rank selection."""
+    got = R.percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"), dict(_P))
+    return got.select("l_returnflag", "n", *[F.round(n, 4).alias(n) for n, _ in _P])
