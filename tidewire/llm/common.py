@@ -14,6 +14,12 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def apart(keep: list[str], outputs: list[str]) -> None:
+    """A kept column may not be named like an output: that is an error of the call, told before anything runs."""
+    if same := sorted({c.lower() for c in keep} & {c.lower() for c in outputs}):
+        raise ValueError(f"kept columns are named like outputs: {', '.join(same)}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import cut, small
+from tidewire.llm.common import apart, cut, small
 
 # Element names of HTML by their part in a page.
 RAW = frozenset("script style textarea title iframe noscript template svg math object select canvas video audio".split())
@@ -383,7 +383,9 @@ def host_paths(pages: DataFrame, url: str, page: str) -> DataFrame:
 
 
 def main_text(pages: DataFrame, url: str, page: str, keep: list[str], broadcast_hosts: int = 200_000) -> DataFrame:
-    """keep, text, path, consensus (whether the host's path was used). A null or empty page has empty text and path."""
+    """keep, text, path, consensus (whether the host's path was used). A null or empty page has empty text and path.
+    A kept column named like an output is an error."""
+    apart(keep, ["text", "path", "consensus"])
     winners = host_paths(pages, url, page).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
     winners = small(cut(winners), broadcast_hosts)
     rows = pages.select(*keep, F.col(page).alias("__page"), host_of(F.col(url)).alias("__of"))

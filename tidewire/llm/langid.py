@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewire.llm.common import cut
+from tidewire.llm.common import apart, cut
 
 UNKNOWN = "und"
 _STEP = 1 << 21
@@ -188,8 +188,7 @@ def predict(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFr
     A null text, or one without letters, is `und` with score 0 and rejected. So is every text if nothing was learned.
     Equal cosines go to the language first in alphabetical order. Columns of these names in `keep` are not allowed (ValueError).
     """
-    if {"lang_pred", "score", "rejected"} & set(keep):
-        raise ValueError("keep has a column named like an output")
+    apart(keep, ["lang_pred", "score", "rejected"])
     dims = len(model.idf)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

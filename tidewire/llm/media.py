@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import progressive_jpeg as jpeg
+from tidewire.llm.common import apart
 
 UNIT = 576
 _TO = np.where(np.arange(256) < 128, np.arange(256) + 2, np.arange(256) - 257).astype(np.int32)
@@ -52,7 +53,9 @@ def _schema(df: DataFrame, names: list[str], more: str) -> str:
 
 
 def to_media(df: DataFrame, text: str, keep: list[str], slice_rows: int = 64) -> DataFrame:
-    """keep, n_bytes and media: the UTF-8 bytes of each whole text, padded and stored. A null text counts as empty."""
+    """keep, n_bytes and media: the UTF-8 bytes of each whole text, padded and stored. A null text counts as empty.
+    A kept column named like an output is an error."""
+    apart(keep, ["n_bytes", "media"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -69,10 +72,11 @@ def read_media(df: DataFrame, keep: list[str], schema: str | None = None, reduce
     """keep and, of each row's media: payload binary, height, width int, rgb binary (height x width x 3).
 
     With `reduce` and its `schema`, each file's (media, payload, tensor) is reduced in the worker instead, and no tensor
-    is shipped.
+    is shipped. A kept column named like an output is an error.
     """
     schema = schema or "payload binary, height int, width int, rgb binary"
     names = [x.split()[0] for x in schema.split(",")]
+    apart(keep, names)
     of = reduce or (lambda media, payload, rgb: (payload, rgb.shape[0], rgb.shape[1], rgb.tobytes()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

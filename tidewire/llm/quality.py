@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import apart
+
 _UNIT = 1 << 18  # characters that are counted at once; longer lines are summed over units
 #: Upper ends of the intervals of each feature.
 EDGES = [
@@ -301,8 +303,7 @@ def assess(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFra
     A null text, an empty one and one of white space have no lines; their score is what training documents without lines
     suggest, and without such the share of good ones. Repeated rows get equal values; whole texts of any length are read.
     """
-    if {"score", "quality", "lines"} & set(keep):
-        raise ValueError("keep has a column named like an output")
+    apart(keep, ["score", "quality", "lines"])
     rows = docs.select(*keep, F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm import words
-from tidewire.llm.common import partitions
+from tidewire.llm.common import apart, partitions
 from tidewire.llm.words import pack, unpack
 
 BLOCK_WINDOWS = 350_000
@@ -208,7 +208,9 @@ def dedup(docs: DataFrame, key: str, text: str, keep: list[str], k: int = 50) ->
     A word goes if a window of k words that covers it also starts in a row with a smaller key; windows are judged on the
     input. spans holds the nonbranching paths: start and length in words, and the earlier text with the place there. A null
     key is later than all others; rows that share a key don't count against each other; a null text has no words.
+    A kept column named like an output is an error.
     """
+    apart(keep, ["words", "kept", "removed", "spans"])
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()[0]
     parts = max(partitions(spark), math.ceil(size / (8 << 20)))
