@@ -175,3 +175,38 @@ def test_votes_equal_a_plain_tally(spark):
         root = parse(page)
         want[i] = extract(root, candidates(root), best[url.split("/")[2]])
     assert {r.page_id: (r.text, r.path) for r in got} == want
+
+
+NAMED = ["section id='related-work'", "div class='meta-analysis'", "div class='share-price'", "section class='ad-hoc-report'", "section id='search-methods'"]
+
+
+@pytest.mark.parametrize("tag", NAMED)
+def test_names_that_tell_of_content_do_not_drop_prose(tag):
+    page = f"<body><article><p>{P}</p><{tag}><p>{P} two</p></{tag.split()[0]}></article></body>"
+    assert own(page)[0].split("\n\n") == [T, T + " two"]
+    short = f"<body><article><p>{P}</p><{tag}><a href='/'>{P}</a><p>Few words.</p></{tag.split()[0]}></article></body>"
+    assert own(short)[0] == T
+
+
+@pytest.mark.parametrize("name", ["related-posts", "share-buttons", "ad-slot-1", "google-ads", "user-comments", "comment-thread", "reply-box", "promo-card", "search-panel", "post-meta", "legal-notice", "cookie-policy", "newsletter-offer", "story-footer"])
+def test_names_of_furniture_drop_prose(name):
+    page = f"<body><article><p>{P}</p><div class='{name}'><p>{P} two</p></div></article></body>"
+    assert own(page)[0] == T
+
+
+def test_a_lead_in_the_header_of_an_article_stays():
+    lead = "What the paper says of the matter, in one long sentence that sums up the whole of the article."
+    page = f"<body><article><header><h1>Title</h1><p class='standfirst'>{lead}</p><p>By Some One, 3 May 2024</p><p><a href='/'>{lead}</a></p></header><p>{P}</p></article></body>"
+    assert own(page)[0].split("\n\n") == ["Title", lead, T]
+
+
+def test_pages_of_a_host_keep_doubtful_sections(spark):
+    """Each page's text against the pieces it was made of, on hosts whose templates have all those names."""
+    rows, want = [], {}
+    for i in range(30):
+        texts = [f"{P} {i} {k}" for k in range(3)]
+        tag = NAMED[i % 5]
+        rows.append((i, f"http://h{i % 5}.example/{i}", f"<body><nav><p>Menu, of the site.</p></nav><article><h1>Head {i}</h1><p>{texts[0]}</p><{tag}><p>{texts[1]}</p></{tag.split()[0]}><div class='related-posts'><p>{P}</p></div><p>{texts[2]}</p></article></body>"))
+        want[i] = "\n\n".join([f"Head {i}", *(" ".join(t.split()) for t in texts)])
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html", ["page_id"]).collect()
+    assert {r.page_id: r.text for r in got} == want

@@ -43,6 +43,17 @@ LIKELY = re.compile(
     r"pagination|pager|popup|share|sharing|sidebar\w*|signup|social|subscribe|subscription|tags|toolbar|widget\w*|complementary|"
     r"contentinfo|search"
 )
+# Words of the above that mean the same in any compound name, and words that say nothing of a box's content.
+CERTAIN = re.compile(
+    r"advert\w*|comments?|commentlist|consent|cookies?|disqus|gdpr|newsletter|paywall|sponsor\w*|replies|breadcrumbs?|footer|header|"
+    r"masthead|menu|nav|navbar|navigation|pagination|popup|sidebar\w*|signup|toolbar|widget\w*|contentinfo"
+)
+FRAME = frozenset(
+    "a area article articles bar block body bottom box btn button buttons card cards column container content entry global google "
+    "grid group heading hot icons in inner item items label left legal line link links list main more news outer page panel part "
+    "post posts primary privacy region right row secondary section site slot stories story text this title top unit user wrap "
+    "wrapper you".split()
+)
 HEAD = frozenset(["header", "masthead"])
 INLINE = re.compile(r"ads?|adv|advert\w*|sponsor\w*|promo\w*|share|sharing|social|newsletter|cookies?")
 ABOUT = re.compile(r"(?:has|no|not|with|without|is|hide|show)[-_]")  # such a class tells of furniture elsewhere
@@ -51,6 +62,8 @@ TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*
 LOOSE = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>")
 CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+PROSE = 140  # letters outside links from which a box with a doubtful name is part of the text
+LEAD = 80  # letters of a paragraph in an article's header that is no byline or date
 LONG_PATH, LONG_NAME = 160, 80  # beyond these a path goes on from the hash of what came before
 
 
@@ -62,6 +75,7 @@ class Box:
     tag: str
     path: str
     mark: int = 0  # 1: likely furniture, 2: surely
+    doubt: bool = False  # the mark comes only from a part of a name that tells of content too
     head: bool = False  # of furniture, whether its headings belong to what it stands in
     article: Box | None = None  # the outermost article that it is or stands in
     items: list = field(default_factory=list)  # (kind, text, letters of links) or Box
@@ -73,15 +87,22 @@ class Box:
         return self.mark > 0
 
 
-def _name(tag: str, attrs: str) -> tuple[str, int, bool]:
-    """Name with generalised classes, furniture mark, and whether it is a header.
+def _layout(part: str) -> bool:
+    """Whether a part of a name is furniture, a word of layout, a number or a letter."""
+    return len(part) < 2 or part in FRAME or part[0].isdigit() or bool(SURE.fullmatch(part) or LIKELY.fullmatch(part))
+
 
-    A block of text is marked by whole names only; a container also by the first or last part of a name. Names that begin
-    with has-, no- and the like are no marks.
+def _name(tag: str, attrs: str) -> tuple[str, int, bool, bool]:
+    """Name with generalised classes, furniture mark, whether it is a header, and whether the mark is in doubt.
+
+    A block of text is marked by whole names only; a container also by the first or last part of a name. Such a mark is in
+    doubt if the word has other uses and a further part of the name is neither furniture nor a word of layout, as in
+    share-price or related-work. Names that begin with has-, no- and the like are no marks.
     """
     mark, head = (0, False) if tag not in ASIDE else (1 if tag in WRAPS else 2, tag == "header")
+    sure = mark > 0
     if not attrs:
-        return tag, mark, head
+        return tag, mark, head, False
     found: dict[str, str] = {}
     for m in NAMED.finditer(attrs):
         found.setdefault(m[1].lower(), next(x for x in (m[2], m[3], m[4], "") if x is not None).lower())
@@ -90,7 +111,7 @@ def _name(tag: str, attrs: str) -> tuple[str, int, bool]:
         classes = f"#{xxhash.xxh64_hexdigest(classes.encode('utf-8', 'surrogatepass'))}"
     name = f"{tag}.{classes}" if classes else tag
     if tag in NEVER:
-        return name, 0, False
+        return name, 0, False, False
     for token in " ".join(found.values()).split():
         if ABOUT.match(token):
             continue
@@ -98,12 +119,11 @@ def _name(tag: str, attrs: str) -> tuple[str, int, bool]:
         for part in {token} if tag in BLOCKS else {token, parts[0], parts[-1]}:
             if part in HEAD:
                 if tag not in BLOCKS:
-                    mark, head = max(mark, 1), True
-            elif SURE.fullmatch(part):
-                mark = 2
-            elif LIKELY.fullmatch(part):
-                mark = max(mark, 1)
-    return name, mark, head
+                    mark, head, sure = max(mark, 1), True, True
+            elif (strong := SURE.fullmatch(part)) or LIKELY.fullmatch(part):
+                mark = 2 if strong else max(mark, 1)
+                sure = sure or part == token or bool(CERTAIN.fullmatch(part)) or all(map(_layout, parts))
+    return name, mark, head, mark > 0 and not sure
 
 
 def parse(page: str) -> Box:
@@ -191,7 +211,7 @@ def parse(page: str) -> Box:
                 block = ""
             continue
         in_link, block = False, ""
-        name, mark, head = _name(tag, attrs)
+        name, mark, head, doubt = _name(tag, attrs)
         if (tag in CLOSES_ITSELF and box.tag == tag) or box.tag == "p":
             leave(box.parent)
         if tag in BLOCKS and not mark and tag not in ("td", "th", "li", "dd", "blockquote"):
@@ -200,7 +220,7 @@ def parse(page: str) -> Box:
             above = box.path
             if len(above) > LONG_PATH:
                 above = f"/#{xxhash.xxh64_hexdigest(above.encode('utf-8', 'surrogatepass'))}"
-            child = Box(box, tag, f"{above}/{name}", mark, head)
+            child = Box(box, tag, f"{above}/{name}", mark, doubt, head)
             child.article = box.article or (child if tag == "article" else None)
             box.items.append(child)
             open_[tag] = open_.get(tag, 0) + 1
@@ -217,7 +237,7 @@ def parse(page: str) -> Box:
 def _settle(root: Box) -> None:
     """Count the prose of every box, and take back marks that can't be right: of a box that holds the `main`, and, if no
     `main` or `article` with prose stands outside marked boxes, of one that holds an article or most of the page's prose
-    (of a comment section and the like, nearly all)."""
+    (of a comment section and the like, nearly all). A mark in doubt is taken back from a box of prose."""
     order, stack = [], [(root, False)]
     clear = False
     under: list[bool] = []
@@ -243,7 +263,7 @@ def _settle(root: Box) -> None:
         if b.mark:
             share = b.prose / root.prose if root.prose else 0
             alone = not clear and (share > 0.95 or (b.mark == 1 and (share > 0.7 or id(b) in articles)))
-            if id(b) in mains or alone:
+            if id(b) in mains or alone or (b.doubt and b.prose >= PROSE):
                 b.mark = 0
 
 
@@ -271,7 +291,7 @@ def candidates(root: Box) -> list[Box]:
 
 
 def blocks(box: Box) -> list[str]:
-    """The blocks of a container in page order without furniture; of a header within it, the headings stay."""
+    """The blocks of a container in page order without furniture; of a header within it, the headings and leads stay."""
     return [t for _, t in _items(box)]
 
 
@@ -290,11 +310,17 @@ def _items(box: Box) -> list[tuple[str, str]]:
             if x is box or not x.furniture or x.head:
                 stack.append(iter(x.items))
                 headings.append(only and x is not box)
-        elif not headings[-1] or x[0] in ("h1", "h2"):
+        elif not headings[-1] or x[0] in ("h1", "h2") or _is_lead(x):
             out.append(x[:2])
     return out
 
 
+def _is_lead(item: tuple[str, str, int]) -> bool:
+    """Whether a paragraph of a header is a sentence of some length, not a byline, a date or links."""
+    kind, text, links = item
+    return kind == "p" and len(text) - 2 * links >= LEAD and text.rstrip("\"'\u201d\u2019\u00bb)")[-1:] in (".", "!", "?", "\u2026", "\u3002")
+
+
 def _is_prose(box: Box) -> bool:
     """Whether a container holds more prose than links, furniture left out."""
     return sum(len(x[1]) - 2 * x[2] for b in _walk(box) for x in b.items if not isinstance(x, Box)) > 0
