@@ -78,5 +78,9 @@ def bounded_payload(payload: Column, keep: list[str], most: int = 65_536) -> Col
     return F.when(F.octet_length(payload) > most, F.to_json(few)).otherwise(payload)
 
 
-def collection_name(base: str, slug: Column, dim: Column, identity: Column) -> Column:
-    return F.concat_ws("_", F.lit(base), F.regexp_replace(F.lower(slug), "[^a-z0-9]+", "-"), dim.cast("string"), F.substring(F.sha2(identity, 256), 1, 12))
+def collection_name(base: str, provider: Column, model: Column, version: Column, dimension: Column) -> Column:
+    """A name for the vectors of one embedding: a readable part of the model's name, the dimension, and a digest of all four."""
+    digest = F.sha2(F.concat_ws("|", provider, model, version, dimension.cast("string")), 256)
+    slug = F.regexp_replace(F.lower(F.element_at(F.split(model, "/"), -1)), r"[^\p{L}\p{N}]+", "-")
+    slug = F.coalesce(F.nullif(F.substring(F.regexp_replace(slug, "^-|-$", ""), 1, 48), F.lit("")), F.lit("model"))
+    return F.concat_ws("__", F.lit(base), slug, F.concat(F.lit("d"), dimension.cast("string")), F.substring(digest, 1, 12))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewire.functions import fuzzy
@@ -10,8 +12,9 @@ from tidewire.functions import text as T
 from tidewire.operators import lsh
 from tidewire.operators import matching as M
 from tidewire.operators import similarity as S
+from tidewire.operators.vectors import Collection, Identity
 from tidewire.plans.base import as_of, query
-from tidewire.session import table
+from tidewire.session import shared_folder, table
 
 _WORDS = "regexp_split_to_array(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+')"
 _SHINGLES = "CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END"
@@ -240,3 +243,22 @@ def sketch_candidates(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     sketched = d.select("doc_id", S.minhash(T.shingles(T.tokens(F.col("text"))), 64).alias("sketch"))
     return lsh.most_alike(*lsh.banded(sketched, "doc_id", "sketch", 16, 4, 0.3), 15).withColumnRenamed("key", "doc_id")
+
+
+@query(
+    "vector_search",
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_reverse(CAST(embedding AS DOUBLE[])) ELSE CAST(embedding AS DOUBLE[]) END AS x,
+        CASE WHEN vec_id % 7 = 0 THEN 'again' WHEN vec_id % 9 = 0 THEN 'late' ELSE 'first' END AS payload FROM embeddings WHERE vec_id % 11 <> 0),
+    q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0),
+    p AS (SELECT query, vec_id AS key, payload, round(greatest(-1, least(1, list_cosine_similarity(q, x))), 4) AS score FROM q, v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM p) SELECT query, key, payload, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 30 AND score >= 0.1""",
+)
+def vector_search(spark, sf_dir):
+    """A collection of the vectors, with later additions, replacements and deletions, asked for the nearest of every 50th."""
+    v = table(spark, sf_dir, "embeddings")
+    kept = Collection(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", Identity("given", "tables/embeddings", "1", 64))
+    kept.create(v.where("vec_id % 9 <> 0"), "vec_id", "embedding", F.lit("first"), cells=32)
+    kept.upsert(v.where("vec_id % 9 = 0"), "vec_id", "embedding", F.lit("late"))
+    kept.upsert(v.where("vec_id % 7 = 0").withColumn("embedding", F.reverse("embedding")), "vec_id", "embedding", F.lit("again"))
+    kept.delete(v.where("vec_id % 11 = 0"), "vec_id")
+    return kept.search(v.where("vec_id % 50 = 0"), "vec_id", "embedding", least=0.1)
