@@ -3,6 +3,7 @@
 from tidewire.plans import (  # noqa: F401
     q_analysis,
     q_api,
+    q_history,
     q_intake,
     q_lists,
     q_ranking,
