@@ -2,6 +2,7 @@
 
 from tidewire.plans import (  # noqa: F401
     q_analysis,
+    q_answers,
     q_api,
     q_history,
     q_intake,
