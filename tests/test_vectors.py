@@ -117,3 +117,10 @@ def test_odd_rows_and_empty_collections(spark, tmp_path):
     assert got == [(q, k, 1.0, i + 1) for q in (6, 7, 8) for i, k in enumerate((6, 7, 8))]
     assert c.search(ask.limit(0), "id", "v").count() == 0
     assert c.compact() == 3 and c.rows().count() == 3
+
+
+def test_a_second_round_with_nothing_to_visit(spark, tmp_path):
+    rows = {i: np.eye(8)[i % 2] for i in range(40)}
+    c = Collection(spark, str(tmp_path), ID)
+    c.create(frame(spark, rows.items()), "id", "v", F.col("payload"), cells=2)
+    assert found(c.search(frame(spark, [(0, rows[0])]), "id", "v", 5, probes=1)) == plain(rows, {0: rows[0]}, 5)

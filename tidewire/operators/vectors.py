@@ -253,6 +253,8 @@ class Collection:
                         bound = np.cos(np.maximum(0.0, angle - widest[there]))
                         go = ~go & (bound + 1e-4 >= b["reached"].to_numpy()[:, None])  # scores are compared at 4 places
                     i, j = np.nonzero(go)
+                    if not len(i):  # an empty column of lists has no type
+                        continue
                     yield pd.DataFrame({"query": b["query"].to_numpy()[i], "q": [b["q"].iloc[x] for x in i], "cell": there[j].astype("int32")})
 
             return run
