@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidewire.functions import fuzzy
@@ -68,3 +69,28 @@ def test_empty_table_and_names(spark):
     df = spark.createDataFrame([("a", 1, "x y", 5)], "conv string, at int, fact string, first int")
     assert diff(df, "conv", "at", "fact").columns == ["conv", "at", "fact", "first", "state"]
     assert diff(df, "conv", "at", "fact").first().first == 5
+
+
+def test_blocks_of_a_large_group_meet_once(spark):
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice("abcd ") for _ in range(rng.choice([2, 3, 9, 14, 16, 25, 40, 70]))) for _ in range(150)} | {"ab" * k for k in range(1, 60, 3)})
+    rows = [(i, g, t) for i, (g, t) in enumerate((g, t) for g in ("g", "h") for t in texts[: 200 if g == "g" else 9])]
+    got = sorted((r.a, r.b) for r in similar(spark.createDataFrame(rows, "id long, g string, t string").repartition(5), "g", "id", "t", 70, 101, block=6).collect())
+    assert got == [(i, j) for i, g, a in rows for j, h, b in rows if g == h and i < j and 70 <= fuzzy.ratio(a, b)] and got
+
+
+def test_nothing_that_files_hide_is_broadcast(spark, tmp_path):
+    """Facts of small files, as their words repeat, were taken for small and went through the driver with all their bigrams."""
+    rows = [(f"c{k % 7}", k // 7, "Some words that come again and again " * 40 + str(k), None) for k in range(70)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/f")
+    plan = diff(spark.read.parquet(f"{tmp_path}/f"), "conv", "at", "fact")._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan
+
+
+def test_many_subsequences_at_a_time():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc é🙂"[: rng.randint(1, 6)]) for _ in range(rng.choice([1, 2, 63, 64, 65, 128, 130, 300]))) for _ in range(40)]
+    pairs = [(i, j) for i in range(40) for j in range(40)]
+    codes, n = fuzzy.codes(texts)
+    got = fuzzy.lcs_many(codes, n, *map(np.array, zip(*pairs)), most=64)
+    assert got.tolist() == [fuzzy.lcs(texts[i], texts[j]) for i, j in pairs]

@@ -1,39 +1,32 @@
 """Fact diff: which facts of a group are new, repeated or changed against those before them.
 
 Changed facts are found by an edit-similarity join on their sorted words. Two texts of lengths m and n whose ratio is at
-least r (2 LCS / (m + n), in hundredths) lie within D = (1 - r)(m + n) insertions and deletions, so
-
-* the shorter one has at least r / (2 - r) of the longer one's length,
-* they share at least (m + n - 2 - 3 D) / 2 bigrams, counted with repetition: a deletion breaks two bigrams of a text at
-  most and an insertion one.
-
-Bigrams are ordered from rare to common over the whole table. A text need only offer as many of the first as leave fewer
-than the shared ones behind; candidates meet on a group and such a bigram, and only they get a ratio. Texts too short to
-have to share a bigram meet on characters instead. Equal texts of a group are one. At 75 a pair of long texts has to
-share but an eighth of their joint length, so a group of many long, different texts of one language has many candidates;
-they are spread over the tasks by their bigrams, and adaptive execution splits bigrams that many texts of a group offer.
+least r (2 LCS / (m + n), in hundredths) have lengths within r / (2 - r) of each other and share r (m + n) / 2 characters,
+counted with repetition. Rare bigrams tell little at 75, where a pair has to share but an eighth of them, so the facts of a
+group meet whole: a group is one cell, and a group of many facts is dealt out to blocks by length and hash, with a cell for
+each pair of blocks whose lengths can go together. Each text comes to as many cells as its group has such blocks; pairs
+exist only inside a task, where numpy drops those whose characters can't do and counts the others' LCS many at a time. A
+group of many different facts of like length costs with its square in time, but not in memory or rows. Equal texts of a
+group are one.
 """
 
 from __future__ import annotations
 
-from math import ceil
+from collections.abc import Iterator
+from math import ceil, log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import fuzzy
 from tidewire.functions import text as T
-from tidewire.session import checkpointed, small
+from tidewire.session import checkpointed
 
 LEAST, SAME = 75, 98  # a changed fact is that like and less than this like a former one
-MORE = 7  # candidates share up to so many more than one of what is offered, which is longer by as many
-
-
-def needed(m: Column, n: Column, least: float = LEAST) -> Column:
-    """How many bigrams texts of lengths m and n share if their ratio is at least that; not positive: perhaps none."""
-    r = F.lit(least / 100)
-    return F.ceil((m + n - 2 - 3 * (1 - r) * (m + n)) / 2 - 1e-9)
+BLOCK = 512  # facts of a group that meet in one cell, with as many others
+PAIRS = 1 << 15  # that are compared at a time
 
 
 def short(least: float = LEAST) -> int:
@@ -41,56 +34,89 @@ def short(least: float = LEAST) -> int:
     return max(n for n in range(2, 400) if ceil((n - 2 - 3 * (1 - least / 100) * n) / 2 - 1e-9) < 1)
 
 
-def _grams(text: str) -> list[str]:
-    """Bigrams with their number among equal ones of the text."""
-    seen: dict[str, int] = {}
-    out = []
-    for i in range(len(text) - 1):
-        g = text[i : i + 2]
-        seen[g] = n = seen.get(g, 0) + 1
-        out.append(f"{g}{n}")
-    return out
-
-
 def sorted_words(norm: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(norm, r"\s+"), lambda w: w != "")), " ")
 
 
-def similar(texts: DataFrame, group: str, id_: str, text: str, least: float = LEAST, below: float = SAME) -> DataFrame:
-    """a, b (a < b): the ids of all pairs of different texts of one group with least <= ratio < below. least is above 67.
-
-    Ids are unique. A null or empty text is like none.
+def _near(cells: pd.DataFrame, least: float, below: float) -> pd.DataFrame:
+    """a, b, r of the pairs of whole cells (g, cell, side, id, t): of sides 0 and 1, or of any two of side 2."""
+    t = cells["t"].to_numpy()
+    codes, n = fuzzy.codes(t)
+    kinds = np.zeros((len(t), 32), np.uint16)  # more than one character may fall on one kind, which only raises the bound
+    np.add.at(kinds, (np.repeat(np.arange(len(t)), n), np.concatenate([c % 32 for c in codes])), 1)
+    ids, side = cells["id"].to_numpy(), cells["side"].to_numpy()
+    ends = np.flatnonzero(np.r_[(np.diff(cells["g"]) != 0) | (np.diff(cells["cell"]) != 0), True]) + 1
+    share, out, waiting, held = least / (200 - least), [], [], 0
+
+    def compare() -> None:
+        x, y = (np.concatenate(z) for z in zip(*waiting))
+        both = n[x] + n[y]
+        may = 200.0 * np.concatenate([np.minimum(kinds[x[k : k + PAIRS]], kinds[y[k : k + PAIRS]]).sum(1) for k in range(0, len(x), PAIRS)]) >= least * both
+        x, y, both = x[may], y[may], both[may]
+        r = 200.0 * fuzzy.lcs_many(codes, n, x, y) / both
+        good = (r >= least) & (r < below)
+        x, y = ids[x[good]], ids[y[good]]
+        out.append((np.minimum(x, y), np.maximum(x, y), r[good]))
+
+    for start, end in zip(np.r_[0, ends[:-1]], ends):
+        for i in range(start, end):
+            if side[i] == 1:
+                continue
+            j = np.arange(i + 1, end) if side[i] == 2 else np.arange(start, end)[side[start:end] == 1]
+            j = j[np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]) - 1e-9]
+            waiting.append((np.full(len(j), i), j))
+            held += len(j)
+            if held > 8 * PAIRS:
+                compare()
+                waiting, held = [], 0
+    if held:
+        compare()
+    a, b, r = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pd.DataFrame({"a": a, "b": b, "r": r})
+
+
+def similar(texts: DataFrame, group: str, id_: str, text: str, least: float = LEAST, below: float = SAME, block: int = BLOCK) -> DataFrame:
+    """a, b (a < b), r: the ids of all pairs of different texts of one group with least <= ratio < below. least is above 67.
+
+    Ids are unique numbers. A null or empty text is like none.
     """
-    rows = texts.where(F.length(text) > 0).select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col(text).alias("t"), F.length(text).alias("n"))
-    grams = F.pandas_udf(lambda t: t.map(_grams), "array<string>", F.PandasUDFType.SCALAR)
-    ratio = F.pandas_udf(lambda x, y: pd.Series([fuzzy.ratio(a, b) for a, b in zip(x, y)]), "double", F.PandasUDFType.SCALAR)
-    rows = checkpointed(rows.withColumn("grams", grams("t")))
-    share = least / (200 - least)
-    own = rows.select("id", "n", F.explode("grams").alias("gram"))
-    often = own.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    ordered = own.join(small(often, 1_000_000), "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("grams"))
-    # The least that a text shares with any that is long enough for it, and the k-th more that goes with k - 1 more offered.
-    must = needed(F.col("n"), F.ceil(share * F.col("n") - 1e-9), least)
-    k = F.least(F.greatest(must, F.lit(1)), F.lit(1 + MORE))
-    offers = rows.drop("grams").join(ordered, "id").withColumn("k", k)
-    offers = offers.withColumn("grams", F.slice("grams", 1, (F.size("grams") - F.greatest(must, F.lit(1)) + F.col("k")).cast("int")))
-    offers = offers.select("g", "id", "n", "k", F.explode(F.transform("grams", lambda x: x["gram"])).alias("key"))
-    least_short = short(least)
-    chars = rows.where(F.col("n") <= least_short).select("g", "id", "n", F.explode(F.array_distinct(F.split("t", ""))).alias("key")).where("key <> ''")
-
-    def pairs(x: DataFrame, bound) -> DataFrame:
-        y = x.select("g", "key", *[F.col(c).alias(f"{c}2") for c in x.columns if c not in ("g", "key")])
-        near = (F.col("id") < F.col("id2")) & (F.least("n", "n2") >= share * F.greatest("n", "n2") - 1e-9)
-        return bound(x.join(y, ["g", "key"]).where(near))
-
-    # With fewer than k in common among what both offer, too few remain behind it.
-    long_ = pairs(offers, lambda p: p.groupBy("id", "id2").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("k", "k2")).alias("k")).where("c >= k").select("id", "id2"))
-    few = pairs(chars, lambda p: p.where(F.col("n") + F.col("n2") <= least_short).select("id", "id2").distinct())
-    both = long_.union(few).distinct()
-    texts_of = rows.select("id", "t")
-    both = both.join(texts_of, "id").join(texts_of.select(F.col("id").alias("id2"), F.col("t").alias("t2")), "id2")
-    r = F.col("r")
-    return both.withColumn("r", ratio("t", "t2")).where((r >= least) & (r < below)).select(F.col("id").alias("a"), F.col("id2").alias("b"), "r")
+    rows = texts.where(F.length(text) > 0).select(F.xxhash64(group).alias("g"), F.col(id_).cast("long").alias("id"), F.col(text).alias("t"))
+    # Lengths that can go together are in one or in neighbouring bands.
+    band = F.floor(F.log(F.length("t").cast("double")) / log((200 - least) / least) + 1e-9).cast("int")
+    of_band = rows.groupBy("g", band.alias("band")).agg(F.count(F.lit(1)).alias("size"))
+    sizes = of_band.groupBy("g").agg(F.sum("size").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("size") / block).cast("int")))).alias("blocks"))
+    rows = rows.join(sizes.hint("merge"), "g").withColumn("band", F.when(F.col("all") > block, band).otherwise(0))
+    blocks = lambda x: F.when(F.col("all") > block, F.coalesce(F.element_at("blocks", x), F.lit(0))).when(x == F.lit(0), 1).otherwise(0)
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), blocks(F.col("band"))).cast("long"))
+    own, numbers = F.col("i"), lambda a, n: F.filter(F.sequence(a, F.greatest(a, n)), lambda x: x < n)
+    cell = lambda band, far, i, j, side: F.struct((((band * 2 + far) * (1 << 24) + i) * (1 << 24) + j).cast("long").alias("cell"), F.lit(side).alias("side"))
+    here, low = F.col("band").cast("long"), F.col("band").cast("long") - 1
+    zero = F.lit(0).cast("long")
+    cells = F.flatten(
+        F.array(
+            F.array(cell(here, 0, own, own, 2)),
+            F.transform(numbers(own + 1, blocks(F.col("band")).cast("long")), lambda j: cell(here, 0, own, j, 0)),
+            F.transform(numbers(zero, own), lambda i: cell(here, 0, i, own, 1)),
+            F.transform(numbers(zero, blocks(F.col("band") + 1).cast("long")), lambda j: cell(here, 1, own, j, 0)),
+            F.transform(numbers(zero, blocks(F.col("band") - 1).cast("long")), lambda i: cell(low, 1, i, own, 1)),
+        )
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if not len(b):
+                continue
+            last = (b["g"] == b["g"].iloc[-1]) & (b["cell"] == b["cell"].iloc[-1])
+            rest = b[last]
+            if not last.all():
+                yield _near(b[~last], least, below)
+        if rest is not None and len(rest):
+            yield _near(rest, least, below)
+
+    met = rows.select("g", "id", "t", F.inline(cells)).repartition("g", "cell").sortWithinPartitions("g", "cell")
+    return met.mapInPandas(run, "a long, b long, r double")
 
 
 def diff(facts: DataFrame, group: str, at: str, fact: str) -> DataFrame:
@@ -102,15 +128,16 @@ def diff(facts: DataFrame, group: str, at: str, fact: str) -> DataFrame:
     """
     norm = F.coalesce(T.fact_key(F.col(fact)), F.lit(""))
     rows = facts.select("*", F.xxhash64(F.col(group)).alias("__g"), norm.alias("__norm"), F.coalesce(F.col(at).cast("double"), F.lit(float("-inf"))).alias("__at"))
-    rows = rows.withColumn("__sorted", sorted_words(F.col("__norm")))
+    rows = checkpointed(rows.withColumn("__sorted", sorted_words(F.col("__norm"))))
     kinds = checkpointed(rows.groupBy("__g", "__sorted").agg(F.min("__at").alias("first"), F.max("__at").alias("last")).withColumn("id", F.xxhash64("__g", "__sorted")))
+    # Hints: the size of a file says little about that of its facts, and none of these sides is small for the driver.
     got = similar(kinds.withColumn("g", F.col("__g")), "g", "id", "__sorted")
     times = kinds.select("id", "first")
     sides = got.select(F.col("a").alias("id"), F.col("b").alias("other")).union(got.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    before = sides.join(times.select(F.col("id").alias("other"), "first"), "other").groupBy("id").agg(F.min("first").alias("__before"))
-    kinds = kinds.join(before, "id", "left").select("__g", "__sorted", "__before")
+    before = sides.join(times.select(F.col("id").alias("other"), "first").hint("merge"), "other").groupBy("id").agg(F.min("first").alias("__before"))
+    kinds = kinds.join(before.hint("merge"), "id", "left").select("__g", "__sorted", "__before")
     same = rows.groupBy("__g", "__norm").agg(F.min("__at").alias("__same"))
-    out = rows.join(same, ["__g", "__norm"]).join(kinds, ["__g", "__sorted"], "left")
+    out = rows.join(same.hint("merge"), ["__g", "__norm"]).join(kinds.hint("merge"), ["__g", "__sorted"], "left")
     state = F.when(F.col("__same") < F.col("__at"), "repeated").when(F.col("__before") < F.col("__at"), "changed").otherwise("new")
     return out.select(*[F.col(c) for c in facts.columns], state.alias("state"))
 
