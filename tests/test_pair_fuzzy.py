@@ -65,3 +65,15 @@ def test_whole_turns(spark, tmp_path):
         want = [round(f(a, b) / 100, 4) if a and b else 0.0 for f in (weighted, token_set, partial)]
         assert [got[c].title, got[c].token_set, got[c].partial] == want
     assert got[1].title < 1 and got[1].partial < 1
+
+
+def test_many_pairs_at_a_time(monkeypatch):
+    rng = random.Random(3)
+    words = ["a", "ab", "ba", "abc", "🙂", "cab", "bca"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n)) + " zz"
+    pairs = [(say(rng.randint(1, 12)), say(rng.randint(1, 12))) for _ in range(60)] + [("a", "a"), (" a", "a b c b a b c b a"), (say(3), say(40))]
+    passes, strands = [], fuzzy._strands
+    monkeypatch.setattr(fuzzy, "_strands", lambda some: passes.append(len(some)) or strands(some))
+    assert fuzzy.all_scores(pairs) == [pytest.approx((weighted(a, b), token_set(a, b), partial(a, b)), abs=1e-9) for a, b in pairs]
+    assert len(passes) < len(pairs) and sum(passes) < 3 * len(pairs)  # was four passes a pair, one pair each
+    assert fuzzy.all_scores([("", ""), ("a", ""), ("", "b")]) == [(0.0, 0.0, 100.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]

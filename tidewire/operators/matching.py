@@ -60,13 +60,16 @@ def conflicting_numbers(a: Column, b: Column, title: Column, semantic: Column) -
 
 def opposite_words(a: Column, b: Column, title: Column) -> Column:
     """The sides differ by one to three content words each, among them an opposite pair."""
-    x, y = T.content_words(a), T.content_words(b)
-    left, right = F.array_except(x, y), F.array_except(y, x)
-    few = (F.size(left) >= 1) & (F.size(left) <= 3) & (F.size(right) >= 1) & (F.size(right) <= 3)
-    pair = F.lit(False)
-    for p, q in OPPOSITES:
-        pair = pair | (F.array_contains(left, p) & F.array_contains(right, q)) | (F.array_contains(left, q) & F.array_contains(right, p))
-    return few & pair & (title >= 0.55)
+    words = F.struct(T.content_words(a).alias("x"), T.content_words(b).alias("y"))
+    swaps = [f"{p} {q}" for one, other in OPPOSITES for p, q in ((one, other), (other, one))]
+
+    def opposite(s: Column) -> Column:
+        few = (F.size(s["x"]) >= 1) & (F.size(s["x"]) <= 3) & (F.size(s["y"]) >= 1) & (F.size(s["y"]) <= 3)
+        return few & F.exists(s["x"], lambda p: F.exists(s["y"], lambda q: F.concat_ws(" ", p, q).isin(swaps)))
+
+    # Each text is searched for words once; written out for every pair of opposites it was searched two hundred times.
+    apart = T.bound(words, lambda w: F.struct(F.array_except(w["x"], w["y"]).alias("x"), F.array_except(w["y"], w["x"]).alias("y")))
+    return T.bound(apart, opposite) & (title >= 0.55)
 
 
 def vetoed(score: Column, veto: Column, t: Thresholds = Thresholds()) -> Column:

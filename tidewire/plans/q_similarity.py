@@ -152,11 +152,15 @@ def pair_features(spark, sf_dir):
 def pair_fuzzy(spark, sf_dir):
     """Fuzzy ratios and the match decision of neighbouring whole turns; Python in Arrow batches."""
     a, b = F.col("a"), F.col("b")
-    t = _turns(spark, sf_dir).select("conv_id", "turn", "a", "b", fuzzy.score(fuzzy.weighted, a, b).alias("title"), fuzzy.score(fuzzy.token_set, a, b).alias("token_set"), fuzzy.score(fuzzy.partial, a, b).alias("partial"))
-    semantic = N.jaccard(T.content_words(F.col("a")), T.content_words(F.col("b")))
-    score = M.match_score(semantic, M.lexical(F.col("title"), F.col("token_set"), F.col("partial")), F.lit(0.5), F.lit(0.0), F.lit(1.0))
-    out = M.vetoed(score, M.opposite_words(F.col("a"), F.col("b"), F.col("title")))
-    return t.select("conv_id", "turn", "title", "token_set", "partial", out.alias("score"), M.decision(out).alias("decision"))
+    # A pair costs milliseconds, so the pairs of a small file are dealt out. Steps are columns, so that none is written out,
+    # and done, once for each use.
+    t = _turns(spark, sf_dir).repartition("conv_id", "turn").withColumn("s", fuzzy.scores(a, b))
+    t = t.withColumn("x", T.content_words(a)).withColumn("y", T.content_words(b)).withColumn("semantic", N.jaccard(F.col("x"), F.col("y")))
+    t = t.withColumn("swap", M.opposite_words(a, b, F.col("s.weighted")))
+    t = t.withColumn("lexical", M.lexical(F.col("s.weighted"), F.col("s.token_set"), F.col("s.partial")))
+    t = t.withColumn("matched", M.match_score(F.col("semantic"), F.col("lexical"), F.lit(0.5), F.lit(0.0), F.lit(1.0)))
+    t = t.withColumn("score", M.vetoed(F.col("matched"), F.col("swap")))
+    return t.select("conv_id", "turn", F.col("s.weighted").alias("title"), "s.token_set", "s.partial", "score", M.decision(F.col("score")).alias("decision"))
 
 
 @query(
