@@ -38,7 +38,9 @@ def unescape(texts: pd.Series) -> pd.Series:
 
 def strip_html(c: Column) -> Column:
     """Block ends become line ends, other tags go; entities are decoded. A text without a tag stays as it is."""
-    return F.when(c.rlike(TAG), unescape(F.regexp_replace(F.regexp_replace(c, BREAK, "\n"), ANY_TAG, ""))).otherwise(c)
+    bare = F.when(c.rlike(TAG), F.regexp_replace(F.regexp_replace(c, BREAK, "\n"), ANY_TAG, ""))
+    coded = unescape(F.when(F.contains(bare, F.lit("&")), bare))  # only texts with entities go to Python; a null comes back as null
+    return F.coalesce(coded, bare, c)
 
 
 # Control characters but tab and line ends, and marks of direction.
@@ -58,7 +60,8 @@ def tidy(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """The normal form for hashing and matching; a null text gives the empty one."""
-    return tidy(nfkc(strip_html(F.coalesce(c, F.lit("")))))
+    c = strip_html(F.coalesce(c, F.lit("")))
+    return tidy(F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c))  # ASCII is its own NFKC and need not go to Python
 
 
 def text_hash(c: Column) -> Column:

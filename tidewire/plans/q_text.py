@@ -8,7 +8,7 @@ from tidewire.functions import numbers as N
 from tidewire.functions import text as T
 from tidewire.functions import urls as U
 from tidewire.plans.base import events, query
-from tidewire.session import table
+from tidewire.session import bounded_batches, table
 
 _TRACK = ", ".join(f"'{t}'" for t in U.TRACKING)
 _TOKENS = "CASE WHEN regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g') = '' THEN [] ELSE regexp_split_to_array(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+') END"
@@ -29,6 +29,7 @@ def content_hashes(spark, sf_dir):
 )
 def normalize_text(spark, sf_dir):
     """The whole normal form; the SQL has the steps that these texts need."""
+    bounded_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("normal_hash"))
 
 
