@@ -58,10 +58,8 @@ def _slot(token: str) -> tuple[int, int]:
 
 def embedded(words) -> list[float]:
     """Signed hash buckets of the words, of length 1 (or all 0)."""
-    v = np.zeros(DIM)
-    for w, n in Counter(words).items():
-        at, sign = _slot(w)
-        v[at] += sign * n
+    at = np.array([_slot(w) for w in words], "int64").reshape(-1, 2)
+    v = np.bincount(at[:, 0], at[:, 1], DIM).astype(float)
     norm = float(np.linalg.norm(v))
     return (v / norm if norm else v).tolist()
 
@@ -80,13 +78,13 @@ def prepared(items: DataFrame, item: str, at: Column, title: Column, text: Colum
     rest = F.struct("at", F.xxhash64("title", "text", "lang"))
     one = raw.groupBy("item").agg(F.min_by(F.struct("at", "title", "text", "lang"), rest).alias("r")).select("item", "r.*")
     words = T.tokens(F.concat_ws("\n", "title", "text"))
-    vector = F.pandas_udf(lambda w: w.map(embedded), "array<double>", F.PandasUDFType.SCALAR)
+    vector = F.pandas_udf(lambda w: w.map(lambda t: embedded(t.split(" ") if t else [])), "array<double>", F.PandasUDFType.SCALAR)
     got = one.withColumn("words", words).withColumn("meta", T.metadata(F.col("title"), F.col("text")))
     got = got.withColumn("shingles", F.transform(T.shingles(F.col("words")), lambda s: F.xxhash64(s)))
-    got = got.withColumn("sketch", S.minhash(T.shingles(F.col("words")), bands * rows))
+    got = got.withColumn("sketch", S.sketches(bands * rows)("shingles")).withColumn("line", F.array_join("words", " "))
     band = F.when(F.size("sketch") > 0, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("sketch", b * rows + 1, rows))))
     keys = F.array_union(F.coalesce(band, F.array().cast("array<bigint>")), F.transform("meta.urls", lambda u: F.xxhash64(F.lit("u"), u)))
-    return got.select("item", "at", "title", "lang", F.array_sort("shingles").alias("shingles"), vector("words").alias("vector"), "meta.numbers", "meta.urls", F.array_distinct(keys).alias("keys"))
+    return got.select("item", "at", "title", "lang", F.sort_array("shingles").alias("shingles"), vector("line").alias("vector"), "meta.numbers", "meta.urls", F.array_distinct(keys).alias("keys"))
 
 
 def slices(items: DataFrame, rows: int) -> DataFrame:
@@ -203,11 +201,16 @@ def step(spark: SparkSession, folder: str, number: int, items: DataFrame, rules:
                 new.append(r | {"vector": list(r["vectors"][0])})
         given, changed = fold(new, stories, rules)
         out = [{"kind": "member", **x} for x in given]
-        out += [{"kind": "story", "item": n, "story": n} | {k: v for k, v in s.items() if k not in ("keys", "component")} for n, s in changed.items()]
+        out += [{"kind": "story", "item": n, "story": n} | {k: v for k, v in s.items() if k not in ("keys", "component", "bundle")} for n, s in changed.items()]
         names = [f.split()[0] for f in re.sub(r"<.*?>+", "", _LOG).split(", ")]
         return pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in names})
 
-    rows.groupBy("component").applyInPandas(run, _LOG).write.mode("overwrite").parquet(f"{folder}/step={number}")
+    def each(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([run(c) for _, c in g.groupby("component", sort=False)])
+
+    bundles = max(1, items.count() // 256)  # most components are one item, which isn't worth a call
+    dealt = rows.withColumn("bundle", F.pmod(F.xxhash64("component"), F.lit(bundles)))
+    dealt.groupBy("bundle").applyInPandas(each, _LOG).write.mode("overwrite").parquet(f"{folder}/step={number}")
 
 
 def place(items: DataFrame, folder: str, rows: int = 1_000_000, start: int = 0, rules: Rules = Rules()) -> DataFrame:
