@@ -82,7 +82,7 @@ def clustering_text(title: Column, body: Column, title_chars: int = 500, body_ch
 
 
 def tokens(c: Column) -> Column:
-    s = strip(F.lower(F.coalesce(c, F.lit(""))))
+    s = F.btrim(F.lower(F.coalesce(c, F.lit(""))), F.lit(" \t\n\x0b\f\r"))  # what \s is, by character and at the true ends only
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"\s+"))
 
 

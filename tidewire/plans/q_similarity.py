@@ -46,7 +46,7 @@ def near_dup_pairs(spark, sf_dir):
     SELECT item_id, doc_id, count(*) AS shared, round(count(*) / n, 4) AS contained FROM x JOIN y USING (t) GROUP BY item_id, doc_id, n""",
 )
 def benchmark_overlap(spark, sf_dir):
-    shingles = T.shingles(T.tokens(F.col("text")))
+    shingles = T.shingle_numbers(T.tokens(F.col("text")))
     b, d = S.token_sets(table(spark, sf_dir, "benchmark"), "item_id", shingles), S.token_sets(table(spark, sf_dir, "documents"), "doc_id", shingles)
     got = S.overlap_counts(b, d, "item_id", "doc_id")
     return got.select("item_id", "doc_id", "shared", F.round(F.col("shared") / F.col("size_a"), 4).alias("contained"))
