@@ -1,9 +1,12 @@
 """Keys of one bucket share calls and a timer, and yet each goes its own way."""
 
+import random
+
 import pytest
-from test_timers import SCHEMA, drain, feed, millis
+from test_timers import SCHEMA, drain, feed, millis, plain_retries
 
 from tidewire.streaming import jobs, timers
+from tidewire.streaming.timers import Backoff
 
 
 def drained(df, tmp_path):
@@ -21,6 +24,30 @@ def test_state_of_signals_grows_with_buckets_and_not_with_keys(spark, tmp_path):
     assert sorted((r.k, millis(r.due), r.signals) for r in got) == sorted((k, s * 1000 + 10_000, 1) for k, s, *_ in rows)
 
 
+def test_state_of_failures_grows_with_buckets_and_not_with_keys(spark, tmp_path):
+    rows = [(f"k{i % 1500}", i % 7, "failed", None) for i in range(3000)]
+    feed(spark, tmp_path / "in", [*rows, ("z", 5000, "ok", None)])
+    got, held = drained(timers.retries(jobs.stream(spark, str(tmp_path / "in"), SCHEMA), "k", "at", "0 seconds"), tmp_path)
+    assert held <= 1024
+    assert sorted((r.k, millis(r.due), r.attempt, r.action) for r in got) == plain_retries(rows, 5000, Backoff())
+
+
+@pytest.mark.parametrize("late", ["0 seconds", "40 seconds"])
+def test_many_keys_of_few_buckets_over_batches_and_restarts(spark, tmp_path, monkeypatch, late):
+    monkeypatch.setattr(timers, "BUCKETS", 3, raising=False)
+    monkeypatch.setattr(timers, "CHUNK", 5, raising=False)
+    rng = random.Random(9)
+    keys = [f"k{i}" for i in range(40)]
+    rows = [(rng.choice(keys), s, rng.choice(["failed", "failed", "limited", "ok", "other", None]), rng.choice([None, None, 9.0])) for s in range(0, 6000, 3)]
+    b = Backoff(most=2)
+    for i in range(0, len(rows), 500):
+        feed(spark, tmp_path / "in", rows[i : i + 500][::-1])
+        drain(timers.retries(jobs.stream(spark, str(tmp_path / "in"), SCHEMA), "k", "at", late, b), tmp_path, "r")
+    feed(spark, tmp_path / "in", [("z", 90000, "ok", None)])
+    got = drain(timers.retries(jobs.stream(spark, str(tmp_path / "in"), SCHEMA), "k", "at", late, b), tmp_path, "r")
+    assert sorted((r.k, millis(r.due), r.attempt, r.action) for r in got) == plain_retries(rows, 90000, b)
+
+
 def test_what_is_due_at_the_watermark_happens_and_a_millisecond_before_it_does_not(spark, tmp_path):
     def run():
         got = drain(timers.fast_path(jobs.stream(spark, str(tmp_path / "in"), SCHEMA), "k", "at", late="0 seconds"), tmp_path, "f")
