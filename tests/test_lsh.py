@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidewire.functions import text as T
 from tidewire.operators import similarity as S
 from tidewire.operators.lsh import banded, most_alike
 
@@ -71,3 +72,34 @@ def test_recall_against_exact_pairs(spark):
 def test_empty_table(spark):
     members, pairs = banded(spark.createDataFrame([], SCHEMA), "id", "sketch", 4, 3, 0.3)
     assert members.count() == pairs.count() == 0 and most_alike(members, pairs, 3).count() == 0
+
+
+def test_sketches_are_made_once_and_equal_the_expression(spark, tmp_path):
+    """Texts go through the sketch once, however often members and pairs are read; values are those of the expression."""
+    texts = ["a b c d e f g h", "one", "", None, " ".join(f"w{i}" for i in range(2000)), "a b c d e f g x", "A b  c\td"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(2)
+    got = S.sketched(df, "id", T.shingle_hashes(T.tokens(F.col("t"))), 64).collect()
+    want = df.select("id", S.minhash(T.shingles(T.tokens(F.col("t"))), 64).alias("sketch")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    made = spark.sparkContext.accumulator(0)
+
+    def sketch(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = sketches()
+    read = spark.createDataFrame(rows, SCHEMA).mapInPandas(sketch, SCHEMA)
+    assert most_alike(*banded(read, "id", "sketch", 4, 3, 0.3, 8), 4).count() > 0
+    assert made.value <= len(rows)
+
+
+def test_all_that_share_a_band_meet_in_blocks_of_the_bucket(spark):
+    """One bucket of many sketches, dealt out to cells: each pair once, by the first band that it shares."""
+    rng = random.Random(5)
+    base = [rng.randrange(1000) for _ in range(6)]
+    rows = [(i, base + [rng.randrange(3) for _ in range(6)]) for i in range(150)]
+    want, _ = plain(rows, 4, 3, 0.6)
+    for full in (256, 40):
+        got = banded(spark.createDataFrame(rows, SCHEMA), "id", "sketch", 4, 3, 0.6, full)[1].collect()
+        assert len(got) == len(want) > 1000 and {(r.a, r.b): r.estimate for r in got} == want
