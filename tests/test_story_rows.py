@@ -26,3 +26,9 @@ def test_equals_its_sql(spark, folder, name):
     want = con.sql(catalogue.ORACLES[name])
     got = catalogue.QUERIES[name](spark, folder).select(*want.columns).collect()
     assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want.fetchall())) and got
+
+
+def test_estimates_have_a_row_a_pair(spark, folder):
+    pairs = catalogue.QUERIES["near_dup_pairs"](spark, folder).collect()
+    got = catalogue.QUERIES["minhash_similarity"](spark, folder).collect()
+    assert sorted((r.a, r.b, r.jaccard) for r in got) == sorted(map(tuple, pairs)) and all(r.estimate > 0.5 for r in got)
